@@ -58,7 +58,7 @@ def as_bytes(texts: pa.Array) -> list[bytes | None]:
 
 #: Rows and bytes of text that a kernel handles at once (one row can be longer).
 SLICE_ROWS = 4096
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -49,6 +50,19 @@ def load_tokenizer(path: str):
     return tok
 
 
+def library_ids(tok, texts: list[str]) -> Iterator[list[int]]:
+    """The library's ids of each text; its encodings take kilobytes each, so few are held at once."""
+    start = 0
+    while start < len(texts):
+        stop, size = start, 0
+        while stop < len(texts) and stop - start < 2048 and size < 1 << 20:
+            size += len(texts[stop])
+            stop += 1
+        for e in tok.encode_batch_fast(texts[start:stop], add_special_tokens=False):
+            yield e.ids
+        start = stop
+
+
 def special_strings(tok) -> re.Pattern | None:
     """What the library finds in a text before it cuts anything."""
     found = sorted((t.content for t in tok.get_added_tokens_decoder().values()), key=len, reverse=True)
@@ -103,8 +117,8 @@ class WordEndCounter:
     def _learn(self, strings: list[str]) -> list[int]:
         cut = [WORD_END_PIECES.findall(s) for s in strings]
         rest = [p for pieces in cut for p in pieces if p not in self.singles]
-        merged = iter(self.tok.encode_batch_fast(rest, add_special_tokens=False))
-        return [sum(1 if p in self.singles else len(next(merged).ids) for p in pieces) for pieces in cut]
+        merged = library_ids(self.tok, rest)
+        return [sum(1 if p in self.singles else len(next(merged)) for p in pieces) for pieces in cut]
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         odd = mask_of(texts, self.odd)
@@ -113,7 +127,7 @@ class WordEndCounter:
         cost = np.array(self.costs(strings.to_pylist()), np.int64)
         out = sums_within(cost[codes], ends)
         rest = [t for o, t in zip(odd, texts) if o]
-        out[odd] = [len(e.ids) for e in self.tok.encode_batch(rest, add_special_tokens=False)] if rest else 0
+        out[odd] = [len(ids) for ids in library_ids(self.tok, rest)] if rest else 0
         return out
 
 
@@ -129,7 +143,7 @@ def token_counter(path: str, singles: frozenset[str] | None):
         return _COUNTERS[path]
     if path.endswith(".model"):
         return lambda texts: [len(x) for x in tok.encode(texts, num_threads=1)]
-    return lambda texts: [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: [len(ids) for ids in library_ids(tok, texts)]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.runtime import Memory, keyed_text, slices, word_codes
-from plumbline.llm.tokencount import ODD_SPACE, load_tokenizer, special_strings
+from plumbline.llm.tokencount import library_ids, load_tokenizer, special_strings
 
 #: ORC writer options.
 ROW_INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 BLOOM_FPP = 0.01
 #: Strings whose ids a worker keeps, in each of two generations.
-KEPT_STRINGS = 600_000
+KEPT_STRINGS = 250_000
+#: White space that sends a text to the library.
+RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 class ByteLevelEncoder:
@@ -48,17 +50,17 @@ class ByteLevelEncoder:
     def __init__(self, path: str):
         self.tok = load_tokenizer(path)
         special = special_strings(self.tok)
-        self.rare = re.compile(r"[\t\r\x0b\x0c" + ODD_SPACE + "]" + (f"|{special.pattern}" if special else ""))
+        self.special = special
+        self.starts = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.ids = Memory(self._library, KEPT_STRINGS)  # little-endian 32-bit integers
 
     def _is_odd(self, text: str) -> bool:
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
+        if any(c in text for c in RARE_SPACES) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
             return True
-        return bool(self.rare.search(text)) or not _is_latin(text)
+        return not _is_latin(text) or bool(self.special) and any(t[:2] in text for t in self.starts) and bool(self.special.search(text))
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [array("I", x.ids).tobytes() for x in found]
+        return [array("I", ids).tobytes() for ids in library_ids(self.tok, texts)]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where those of each text end."""
@@ -72,7 +74,11 @@ class ByteLevelEncoder:
         bare = feed.copy()
         bare[1:] |= feed[:-1]
         bare[np.r_[0, ends[:-1]][: len(ends)][np.diff(ends, prepend=0) > 0]] = True
-        kinds, which = np.unique(2 * codes.astype(np.int64) + bare, return_inverse=True)
+        which = 2 * codes.astype(np.int64) + bare
+        used = np.zeros(2 * len(strings), bool)
+        used[which] = True
+        kinds = np.flatnonzero(used)
+        which = (np.cumsum(used) - 1)[which]
         ids = self.ids([strings[k >> 1] if k & 1 else " " + strings[k >> 1] for k in kinds.tolist()])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
@@ -107,7 +113,7 @@ class LibraryEncoder:
         if self.is_piece:
             ids = self.tok.encode(texts, num_threads=1)
         else:
-            ids = [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = list(library_ids(self.tok, texts))
         return np.array([i for x in ids for i in x], "<u4"), np.cumsum([len(x) for x in ids], dtype=np.int64)
 
 
