@@ -1,0 +1,29 @@
+"""Where models plug in: a scorer of (premise, hypothesis) batches on the executors."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Builds a model once in each worker; it maps lists of premises and hypotheses to lists of scores.
+ScorerFactory = Callable[[], Callable[[list[str], list[str]], list[tuple[float, ...]]]]
+
+
+def scored_pairs(pairs: DataFrame, key: str, premise: str, hypothesis: str, factory: ScorerFactory, names: tuple[str, ...], batch_size: int = 64) -> DataFrame:
+    """``key`` and one double column for each of ``names``, in batches of ``batch_size``."""
+    kind = pairs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        scorer = factory()
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                scores = scorer(part.column(1).to_pylist(), part.column(2).to_pylist())
+                columns = [pa.array([round(float(s[i]), 6) for s in scores], pa.float64()) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["k", *names])
+
+    source = pairs.select(F.col(key).alias("k"), F.col(premise).alias("p"), F.col(hypothesis).alias("h"))
+    return source.mapInArrow(run, f"k {kind}, " + ", ".join(f"{n} double" for n in names)).withColumnRenamed("k", key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plumbline.plans import answers, judged  # noqa: F401  registers their queries
 from plumbline.plans.registry import ORACLES, QUERIES
 
 
