@@ -32,16 +32,15 @@ def canonical(df: DataFrame) -> DataFrame:
         objects = F.try_variant_get(c, "$", CONTEXTS)
         plain = F.transform(texts, lambda t, i: F.struct(F.lit(None).cast("string").alias("id"), t.alias("text")))
         df = df.withColumn("context", F.when(c.isNull(), F.lit(None).cast(CONTEXTS)).when(F.schema_of_variant(c).contains("OBJECT"), objects).otherwise(plain))
+    both = [(n, o, F.col(n).cast(k), F.col(o).cast(k)) for n, o, k in ALIASES if n in df.columns and o in df.columns]
     conflict = F.lit(False)
-    for name, other, kind in ALIASES:
-        if other in df.columns and name in df.columns:
-            a, b = F.col(name).cast(kind), F.col(other).cast(kind)
-            conflict = conflict | (a.isNotNull() & b.isNotNull() & ~a.eqNullSafe(b))
-            df = df.withColumn(name, F.coalesce(a, b))
-        elif other in df.columns:
-            df = df.withColumn(name, F.col(other).cast(kind))
+    for _, _, a, b in both:
+        conflict = conflict | (a.isNotNull() & b.isNotNull() & ~a.eqNullSafe(b))
+    df = df.withColumn("alias_conflict", conflict)
+    df = df.withColumns({name: F.coalesce(a, b) for name, _, a, b in both})
+    df = df.withColumns({n: F.col(o).cast(k) for n, o, k in ALIASES if n not in df.columns and o in df.columns})
     with_id = F.transform("contexts", lambda c, i: F.struct(F.coalesce(c["id"], F.concat(F.lit("passage_"), i + 1)).alias("id"), F.regexp_replace(c["text"], "^(?U)\\s+|(?U)\\s+$", "").alias("text")))
-    df = df.withColumn("contexts", with_id).withColumn("alias_conflict", conflict)
+    df = df.withColumn("contexts", with_id)
     return df.drop(*(other for _, other, _ in ALIASES))
 
 
