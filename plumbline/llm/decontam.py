@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from plumbline.llm.runtime import as_bytes, fields_of, keyed_text, slices, word_codes, written
+from plumbline.llm.runtime import as_bytes, bounded_batches, fields_of, keyed_text, slices, word_codes, written
 
 WINDOW = 10
 #: Words of items in one automaton; it has at most twice as many states.
@@ -283,6 +283,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.
     Cutting goes on until no window is left, also none that cutting has made.
     All other columns and rows stay as they are.
     """
+    bounded_batches(docs.sparkSession)
     for auto in _broadcast_blocks(docs.sparkSession, benchmark, item_col, item_text_col, window):
         columns = docs.columns
         done = docs.withColumn("__clean", _cleaner(auto, max_coverage)(F.col(text_col))).where(~F.col("__clean.gone"))

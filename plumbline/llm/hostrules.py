@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
-from plumbline.llm.runtime import as_bytes, per_text, written
+from plumbline.llm.runtime import as_bytes, bounded_batches, per_text, written
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -131,6 +131,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     Texts are measured twice, once for the hosts and once where the rows go out,
     and are not shuffled unless very many hosts are bad.
     """
+    bounded_batches(docs.sparkSession)
     measured = docs.select(F.col(host_col).cast("string").alias("host"), _measured(F.col(text_col).cast("string")).alias("m")).select("host", "m.*")
     bad = host_verdicts(measured, max_rate).where(~F.col("host_kept"))
     bad = bad.select(F.coalesce("host", F.lit("")).alias("__h"), F.col("host").isNull().alias("__n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -51,6 +52,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Set how much goes to a Python worker at once: executors' memory outside the heap follows it.
+
+    Ten thousand rows, the default, can be gigabytes of text.
+    """
+    conf = spark.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: Rows and bytes in an Arrow batch.
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
+
+
+def release() -> None:
+    """Give memory that is free in this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def as_bytes(texts: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return texts.cast(pa.binary()).to_pylist()
@@ -71,6 +97,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
             end = min(start + SLICE_ROWS, max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
             yield batch.slice(start, end - start)
             start = end
+    release()
 
 
 def fields_of(spark: SparkSession, schema: str) -> list[pa.Field]:
@@ -79,6 +106,7 @@ def fields_of(spark: SparkSession, schema: str) -> list[pa.Field]:
 
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the id and the text, as ``key`` and ``text``; other columns cannot clash."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
 
 

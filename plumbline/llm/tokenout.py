@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.runtime import Memory, keyed_text, slices, word_codes
+from plumbline.llm.runtime import Memory, bounded_batches, keyed_text, slices, word_codes
 from plumbline.llm.tokencount import library_ids, load_tokenizer, special_strings
 
 #: ORC writer options.
@@ -192,6 +192,7 @@ def digest(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ``start`` is the number of ids of all documents before it.  Only one row for
     each file's part meets in a single task.
     """
+    bounded_batches(stored.sparkSession)
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
