@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from plumbline.llm.runtime import as_bytes, bounded_batches, fields_of, keyed_text, slices, word_codes, written
+from plumbline.llm.runtime import as_bytes, bounded_batches, fields_of, forget, keyed_text, slices, word_codes, written
 
 WINDOW = 10
 #: Words of items in one automaton; it has at most twice as many states.
@@ -302,6 +302,7 @@ def _cleaner(auto, max_coverage: float):
             while spans and not gone[row]:
                 out[row] = _cut(out[row], spans)
                 spans = scan_texts(auto.value, [out[row]])[1].get(0, ((), ()))[0]
+        forget()
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(gone)], names=["text", "gone"])
 
     return clean

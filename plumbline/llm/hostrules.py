@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
-from plumbline.llm.runtime import as_bytes, bounded_batches, per_text, written
+from plumbline.llm.runtime import as_bytes, bounded_batches, forget, per_text, written
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -122,6 +122,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 @arrow_udf(StructType([StructField(c.split()[0], LongType()) for c in MEASURES.split(", ")]))
 def _measured(texts: pa.Array) -> pa.Array:
     columns = list(zip(*map(measure, as_bytes(texts)))) or [[]] * 6
+    forget()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"])
 
 

@@ -89,6 +89,7 @@ SLICE_BYTES = 3 << 20
 
 def slices(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
     """The batches in slices within ``SLICE_ROWS`` and ``SLICE_BYTES`` of the texts in ``column``."""
+    _used[0] = False
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, start = np.cumsum(sizes), 0
@@ -97,7 +98,9 @@ def slices(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
             end = min(start + SLICE_ROWS, max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
             yield batch.slice(start, end - start)
             start = end
-    release()
+        release()
+    if not _used[0]:
+        forget()
 
 
 def fields_of(spark: SparkSession, schema: str) -> list[pa.Field]:
@@ -145,6 +148,17 @@ def sums_within(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(total[ends], prepend=0)
 
 
+_memories: list[Memory] = []
+_used = [False]
+
+
+def forget() -> None:
+    """Empty the memories in this worker; operators that need none call it, as the worker may have served another."""
+    for m in _memories:
+        m.young, m.old = {}, {}
+    release()
+
+
 class Memory:
     """Values of strings met before, in two generations so that frequent strings stay."""
 
@@ -152,9 +166,11 @@ class Memory:
         self.learn, self.generation = learn, generation
         self.young: dict = {}
         self.old: dict = {}
+        _memories.append(self)
 
     def __call__(self, strings: list[str]) -> list:
         """The value of each of different ``strings``; those not kept are learnt together."""
+        _used[0] = True
         out = list(map(self.young.get, strings))
         if None in out:
             gone = [s for s, x in zip(strings, out) if x is None]

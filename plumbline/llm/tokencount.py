@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.runtime import Memory, per_slice, sums_within, word_codes
 
 #: Strings whose costs a worker keeps, in each of two generations.
-KEPT_STRINGS = 1_000_000
+KEPT_STRINGS = 400_000
 
 LETTERS = "a-zªµºß-öø-ÿ"
 NUMBERS = "0-9²³¹¼½¾"

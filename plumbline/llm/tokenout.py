@@ -32,7 +32,7 @@ ROW_INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 BLOOM_FPP = 0.01
 #: Strings whose ids a worker keeps, in each of two generations.
-KEPT_STRINGS = 250_000
+KEPT_STRINGS = 200_000
 #: White space that sends a text to the library.
 RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
