@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontam, hostrules, htmltext, langid, mixing, neardup, pii, tokencount, tokenout, warc
+from plumbline.llm import decontam, hostrules, htmltext, langid, mixing, neardup, oracles, pii, tokencount, tokenout, warc
 from plumbline.llm.runtime import scratch
 
 
@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_archive": oracles.OP4, "op5_host_quality": oracles.OP5}
