@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import draw
 
+#: Candidate vectors in one broadcast, about.
+DENSE_BLOCK = 1 << 16
+
 
 def bm25(queries: DataFrame, passages: DataFrame, tokens, *, group: str, numerator: float, k1: float, b: float = 0.75, least_length: float = 1.0, distinct_terms: bool, digits: int | None) -> DataFrame:
     """``qid``, ``pos`` and ``score`` of each passage of the query's group.
@@ -64,3 +71,52 @@ def budgeted(scored: DataFrame, cost: str, fixed: Column, budget: int, k: int) -
 def exact_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Exactly ``n`` rows (or all), chosen by a hash of seed and key, whatever the partitions."""
     return df.orderBy(draw(seed, F.col(key)), F.col(key)).limit(n)
+
+
+def dense_topk(vectors: DataFrame, id_col: str, vector_col: str, k: int, digits: int = 4) -> DataFrame:
+    """``qv``, ``id_col``, ``score`` and ``rank``: for every vector the ``k`` others with the highest rounded cosine; ties by id.
+
+    All vectors are ranked against all others.  Candidates are broadcast block
+    by block; a task keeps ``k`` of a block for each of its vectors, and the
+    blocks' best are merged.  Null vectors and those of length zero have no
+    cosine: they get no rows and are in none.
+    """
+    spark = vectors.sparkSession
+    v = F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.exists(v, lambda x: x != 0))
+    blocks = max(1, -(-rows.count() // DENSE_BLOCK))
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    parts = []
+    for b in range(blocks):
+        block = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow().sort_by("id")
+        if block.num_rows:
+            shared = spark.sparkContext.broadcast((block["id"].to_numpy(), _unit(block["v"])))
+            parts.append(dealt.mapInArrow(_nearest(shared, k, digits, ["qv", id_col, "score"]), f"qv long, {id_col} long, score double"))
+    best = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], f"qv long, {id_col} long, score double")
+    rank = F.row_number().over(Window.partitionBy("qv").orderBy(F.desc("score"), id_col))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _unit(lists) -> np.ndarray:
+    flat = (lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists).flatten().to_numpy(zero_copy_only=False)
+    v = flat.reshape(len(lists), -1)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def _nearest(shared, k: int, digits: int, names: list[str]):
+    def run(batches):
+        ids, units = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):  # bounds the scores held at once
+                part = batch.slice(start, 64)
+                asked = part.column(0).to_numpy()
+                scores = np.rint(_unit(part.column(1)) @ units.T * 10**digits)
+                scores[asked[:, None] == ids] = -np.inf
+                least = np.partition(scores, max(len(ids) - k, 0), axis=1)[:, max(len(ids) - k, 0)]
+                best = [x[np.argsort(-s[x], kind="stable")][:k] for s, x in ((s, np.flatnonzero((s >= m) & (s > -np.inf))) for s, m in zip(scores, least))]
+                n = [len(x) for x in best]
+                at = np.concatenate(best)
+                got = scores[np.repeat(np.arange(len(n)), n), at] / 10**digits
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n)), pa.array(ids[at]), pa.array(got)], names=names)
+
+    return run

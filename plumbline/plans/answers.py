@@ -275,3 +275,9 @@ def dense_rank_topk(spark, d):
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     pairs = q.join(e, "g").where("qv <> vec_id").withColumn("score", F.round(dot(F.col("qvec"), F.col("v")) / F.sqrt(dot(F.col("qvec"), F.col("qvec")) * dot(F.col("v"), F.col("v"))), 4))
     return pairs.select("qv", "vec_id", "score", F.row_number().over(Window.partitionBy("qv").orderBy(F.desc("score"), "vec_id")).alias("rank")).where("rank <= 5")
+
+
+@query()
+def dense_rank_topk_all(spark, d):
+    """Every vector's five nearest of the whole table; ``dense_rank_topk`` is the narrow form that its SQL fixes."""
+    return ranking.dense_topk(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
