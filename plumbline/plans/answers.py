@@ -1,8 +1,9 @@
 """Queries over answers (assistant turns), their statements and their contexts.
 
 ``responses`` are assistant turns with the turn before as the query;
-``contexts`` of a conversation are the first three documents whose id falls on
-it; ``spans`` stand for annotated spans, taken from ``labels``.
+``contexts`` of a conversation are the documents whose id falls on it; queries
+whose SQL takes the first three have a form ``_all`` over the whole pool;
+``spans`` stand for annotated spans, taken from ``labels``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from plumbline.functions.text import ABSTENTION_PATTERNS, ENGLISH_STOPWORDS, STO
 from plumbline.operators import audit, checks, metrics, ranking, spans, verdicts
 from plumbline.operators.chunks import chunked
 from plumbline.operators.claims import SPLIT_SQL, split_claims
-from plumbline.plans.registry import query
+from plumbline.plans.registry import ORACLES, query
 from plumbline.session import table
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOPWORDS + ENGLISH_STOPWORDS) + ")"
@@ -30,8 +31,11 @@ def contexts(spark, d) -> DataFrame:
     n = table(spark, d, "conversations").agg(F.count_distinct("conv_id").alias("n")).first()["n"]  # one number
     docs = table(spark, d, "documents").withColumn("conv_id", F.col("doc_id") % n)
     pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("doc_id"))
-    first = docs.select("conv_id", "doc_id").withColumn("pos", pos).where("pos <= 3")
-    return docs.select("doc_id", "text").join(first, "doc_id").select("conv_id", "pos", "doc_id", "text")
+    return docs.withColumn("pos", pos).select("conv_id", "pos", "doc_id", "text")
+
+
+def first_contexts(spark, d) -> DataFrame:
+    return contexts(spark, d).where("pos <= 3")
 
 
 def gold_spans(spark, d) -> DataFrame:
@@ -147,40 +151,40 @@ RETRIEVAL_SQL = _bm25_sql(TOKENS_A_SQL, f"where term not in {STOP_SQL}", 2.0, 1.
 SELECTION_SQL = _bm25_sql("regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+')", "", 2.5, 1.5, True, "1")
 
 
-def retrieval(spark, d):
-    return ranking.ranked(ranking.bm25(responses(spark, d), contexts(spark, d), terms, group="conv_id", numerator=2.0, k1=1.2, distinct_terms=False, digits=4))
+def retrieval(spark, d, pool):
+    return ranking.ranked(ranking.bm25(responses(spark, d), pool(spark, d), terms, group="conv_id", numerator=2.0, k1=1.2, distinct_terms=False, digits=4))
 
 
-def selection(spark, d):
-    scored = ranking.bm25(responses(spark, d), contexts(spark, d), words, group="conv_id", numerator=2.5, k1=1.5, distinct_terms=True, digits=4)
+def selection(spark, d, pool):
+    scored = ranking.bm25(responses(spark, d), pool(spark, d), words, group="conv_id", numerator=2.5, k1=1.5, distinct_terms=True, digits=4)
     return ranking.ranked(scored)
 
 
 @query(RETRIEVAL_SQL + " select qid, pos, score, rank from ranked")
-def bm25_retrieval(spark, d):
-    return retrieval(spark, d).select("qid", "pos", "score", "rank")
+def bm25_retrieval(spark, d, pool=first_contexts):
+    return retrieval(spark, d, pool).select("qid", "pos", "score", "rank")
 
 
 @query(SELECTION_SQL + " select qid, pos, score, rank from ranked")
-def bm25_selection(spark, d):
-    return selection(spark, d).select("qid", "pos", "score", "rank")
+def bm25_selection(spark, d, pool=first_contexts):
+    return selection(spark, d, pool).select("qid", "pos", "score", "rank")
 
 
 @query(SELECTION_SQL + " select qid, k, pos, rank, cast(row_number() over (partition by qid, k order by pos) as integer) source_order from ranked, (select unnest([1, 3, 5]) k) ks where rank <= k")
-def topk_source_order(spark, d):
-    return ranking.top_k(selection(spark, d)).select("qid", "k", "pos", "rank", "source_order")
+def topk_source_order(spark, d, pool=first_contexts):
+    return ranking.top_k(selection(spark, d, pool)).select("qid", "k", "pos", "rank", "source_order")
 
 
 @query(RETRIEVAL_SQL + " select qid, pos, cast(row_number() over (partition by qid order by rank) as integer) kept_rank from ranked where score > 0 or rank = 1 qualify row_number() over (partition by qid order by rank) <= 2")
-def evidence_filter_topk(spark, d):
+def evidence_filter_topk(spark, d, pool=first_contexts):
     # A score is positive exactly where a term is shared.
-    return ranking.evidence_filter(retrieval(spark, d), (F.col("score") > 0).cast("int"), 2).select("qid", "pos", "kept_rank")
+    return ranking.evidence_filter(retrieval(spark, d, pool), (F.col("score") > 0).cast("int"), 2).select("qid", "pos", "kept_rank")
 
 
 @query()
 def budget_select(spark, d):
     lengths = contexts(spark, d).select("conv_id", "pos", F.size(words(F.col("text"))).alias("cost"))
-    pool = selection(spark, d).join(responses(spark, d).select("qid", "conv_id"), "qid").join(lengths, ["conv_id", "pos"])
+    pool = selection(spark, d, contexts).join(responses(spark, d).select("qid", "conv_id"), "qid").join(lengths, ["conv_id", "pos"])
     return ranking.budgeted(pool, "cost", F.lit(2), 512, 3).withColumn("chosen", F.array_join(F.transform("chosen", lambda x: x.cast("string")), ","))
 
 
@@ -196,21 +200,21 @@ v as (select qid, claim_no, pos, cast(overlap as bigint) overlap, case when pos
   when regexp_matches(claim, '不|无|未|尚|仅|禁止|否|no|never|unable') <> regexp_matches(text, '不|无|未|尚|仅|禁止|否|no|never|unable') then 'conflict' else 'supported' end as label from sc where r = 1)"""
 
 
-def _verdicts(spark, d):
+def _verdicts(spark, d, pool):
     answers = responses(spark, d)
     claims = split_claims(answers, "qid", "answer").withColumn("conv_id", F.floor(F.col("qid") / 1000).cast("long"))
     claims = claims.withColumn("claim_id", F.struct("qid", "claim_no"))
-    return verdicts.rule_verdicts(claims, contexts(spark, d), "conv_id")
+    return verdicts.rule_verdicts(claims, pool(spark, d), "conv_id")
 
 
 @query(RULE_SQL + " select qid, claim_no, pos, overlap, label from v")
-def rule_verdicts(spark, d):
-    return _verdicts(spark, d).select(F.col("claim_id.qid").alias("qid"), F.col("claim_id.claim_no").alias("claim_no"), "pos", F.col("overlap").cast("long").alias("overlap"), "label")
+def rule_verdicts(spark, d, pool=first_contexts):
+    return _verdicts(spark, d, pool).select(F.col("claim_id.qid").alias("qid"), F.col("claim_id.claim_no").alias("claim_no"), "pos", F.col("overlap").cast("long").alias("overlap"), "label")
 
 
 @query(RULE_SQL + " select qid, count(*) claims, cast(count(*) filter (where label = 'supported') as bigint) supported, count(*) filter (where label = 'supported')::double / count(*) faithfulness, bool_or(label <> 'supported') hallucinated from v group by qid")
-def response_metrics(spark, d):
-    rows = rule_verdicts(spark, d)
+def response_metrics(spark, d, pool=first_contexts):
+    rows = rule_verdicts(spark, d, pool)
     good = F.count_if(F.col("label") == "supported")
     return rows.groupBy("qid").agg(F.count("*").alias("claims"), good.alias("supported"), spans.ratio(good, F.count("*")).alias("faithfulness"), F.max(F.col("label") != "supported").alias("hallucinated"))
 
@@ -223,8 +227,8 @@ def seeded_sample_topn(spark, d):
 
 
 @query(f"with {RESPONSES_SQL.strip()}, {CONTEXTS_SQL.strip()}, p as (select conv_id, string_agg('[Evidence ' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) order by pos) document from contexts group by conv_id) select qid, sha256(document) document_sha256, cast(length(document) as bigint) document_chars from responses join p using (conv_id)")
-def document_build(spark, d):
-    rows = contexts(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("doc_id").cast("string").alias("id"), "text"))).alias("cs"))  # three contexts each
+def document_build(spark, d, pool=first_contexts):
+    rows = pool(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("doc_id").cast("string").alias("id"), "text"))).alias("cs"))  # as many as fall on a conversation
     built = rows.select("conv_id", evidence_document(F.col("cs")).alias("doc"))
     return responses(spark, d).join(built, "conv_id").select("qid", F.sha2("doc", 256).alias("document_sha256"), F.char_length("doc").cast("long").alias("document_chars"))
 
@@ -281,3 +285,43 @@ def dense_rank_topk(spark, d):
 def dense_rank_topk_all(spark, d):
     """Every vector's five nearest of the whole table; ``dense_rank_topk`` is the narrow form that its SQL fixes."""
     return ranking.dense_topk(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
+
+
+def _whole(name: str) -> str:
+    """The SQL of a query without its cut to the first three contexts."""
+    return ORACLES[name].replace(" x where pos <= 3)", " x)")
+
+
+@query(_whole("bm25_retrieval"))
+def bm25_retrieval_all(spark, d):
+    return bm25_retrieval(spark, d, contexts)
+
+
+@query(_whole("bm25_selection"))
+def bm25_selection_all(spark, d):
+    return bm25_selection(spark, d, contexts)
+
+
+@query(_whole("topk_source_order"))
+def topk_source_order_all(spark, d):
+    return topk_source_order(spark, d, contexts)
+
+
+@query(_whole("evidence_filter_topk"))
+def evidence_filter_topk_all(spark, d):
+    return evidence_filter_topk(spark, d, contexts)
+
+
+@query(_whole("rule_verdicts"))
+def rule_verdicts_all(spark, d):
+    return rule_verdicts(spark, d, contexts)
+
+
+@query(_whole("response_metrics"))
+def response_metrics_all(spark, d):
+    return response_metrics(spark, d, contexts)
+
+
+@query(_whole("document_build"))
+def document_build_all(spark, d):
+    return document_build(spark, d, contexts)

@@ -2,9 +2,12 @@
 
 import numpy as np
 import pytest
+from compare import differ
+from pyspark.sql import functions as F
 
+from plumbline.functions.text import words
 from plumbline.operators import ranking
-from plumbline.plans import catalog
+from plumbline.plans import answers, catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +29,35 @@ def test_vectors_without_cosine(spark):
     got = sorted((r.qv, r["rank"], r.id) for r in ranking.dense_topk(rows, "id", "v", 5).collect())
     assert got == [(1, 1, 2), (1, 2, 5), (2, 1, 1), (2, 2, 5), (5, 1, 2), (5, 2, 1)]
     assert ranking.dense_topk(rows.where("id = 9"), "id", "v", 5).count() == 0
+
+
+def test_contexts_are_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert answers.contexts(spark, SF).count() == docs.count() > answers.first_contexts(spark, SF).count()
+
+
+POOLED = "bm25_retrieval bm25_selection topk_source_order evidence_filter_topk rule_verdicts response_metrics document_build".split()
+
+
+@pytest.mark.parametrize("name", POOLED)
+def test_whole_pools_differ_from_their_first_three(spark, name):
+    sql = catalog.oracle_sql()[f"{name}_all"]
+    assert "pos <= 3" not in sql and "pos <= 3" in catalog.oracle_sql()[name]
+    assert differ(catalog.queries()[name](spark, SF), sql, SF)
+
+
+def test_budget_chooses_from_all_contexts(spark):
+    ranked = {}
+    for r in catalog.queries()["bm25_selection_all"](spark, SF).collect():
+        ranked.setdefault(r.qid, []).append((r["rank"], r.pos))
+    costs = {(r.conv_id, r.pos): r.cost for r in answers.contexts(spark, SF).select("conv_id", "pos", F.size(words(F.col("text"))).alias("cost")).collect()}
+    got = {r.qid: (r.used, r.chosen) for r in catalog.queries()["budget_select"](spark, SF).collect()}
+    assert got.keys() == ranked.keys()
+    for qid, pool in ranked.items():
+        used, chosen = 2, []
+        for _, pos in sorted(pool):
+            cost = costs[qid // 1000, pos]
+            if len(chosen) < 3 and used + cost <= 512:
+                used, chosen = used + cost, [*chosen, pos]
+        assert got[qid] == (used, ",".join(map(str, chosen)))
+    assert any(int(p) > 3 for _, chosen in got.values() for p in chosen.split(",") if p)
