@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -283,12 +284,52 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.
     Cutting goes on until no window is left, also none that cutting has made.
     All other columns and rows stay as they are.
     """
-    bounded_batches(docs.sparkSession)
-    for auto in _broadcast_blocks(docs.sparkSession, benchmark, item_col, item_text_col, window):
-        columns = docs.columns
-        done = docs.withColumn("__clean", _cleaner(auto, max_coverage)(F.col(text_col))).where(~F.col("__clean.gone"))
-        docs = done.withColumn(text_col, F.col("__clean.text")).select(*columns)
-    return docs
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    blocks = list(_broadcast_blocks(spark, benchmark, item_col, item_text_col, window))
+    if len(blocks) > 1:
+        return _cut_by_all(docs, blocks, max_coverage, text_col)
+    done = docs.withColumn("__clean", _cleaner(blocks[0], max_coverage)(F.col(text_col))).where(~F.col("__clean.gone"))
+    return done.withColumn(text_col, F.col("__clean.text")).select(*docs.columns)
+
+
+def _cut_by_all(docs: DataFrame, blocks: list, max_coverage: float, text_col: str) -> DataFrame:
+    """``remove_leaks`` by several automata: coverage and each cut take the hits of all of them.
+
+    What was cut goes through all blocks again until none of them hits.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text"))
+    hits = written(_hits(texts, blocks), "hits")
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    over = covered > F.lit(max_coverage) * F.col("n_words")
+    gone = hits.where(over).select(F.col("row").alias("__row"))
+    hits, cleaned = hits.where(~over), []
+    while not hits.isEmpty():
+        texts = written(texts.join(hits, "row").select("row", _cutter()(F.col("text"), F.col("spans")).alias("text")), "cut")
+        hits = written(_hits(texts, blocks), "hits")
+        cleaned.append(texts.join(hits, "row", "left_anti"))
+    kept = rows.join(gone, "__row", "left_anti")
+    if cleaned:
+        new = reduce(DataFrame.union, cleaned).select(F.col("row").alias("__row"), F.col("text").alias("__text"))
+        kept = kept.join(new, "__row", "left").withColumn(text_col, F.coalesce("__text", F.col(text_col).cast("string")))
+    return kept.select(*docs.columns)
+
+
+def _hits(texts: DataFrame, blocks: list) -> DataFrame:
+    """``row``, ``n_words`` and the ``spans`` of all blocks, of the texts with a hit."""
+    parts = [texts.select("row", "text").mapInArrow(_finder(b, texts.sparkSession), f"row long, {FOUND}").where(F.size("spans") > 0) for b in blocks]
+    joined = reduce(DataFrame.union, parts).groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"))
+    return joined.select("row", "n_words", _merge("s").alias("spans"))
+
+
+def _cutter():
+    @arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = [_cut(t, [(s["start"], s["end"]) for s in hit]) for t, hit in zip(as_bytes(texts), spans.to_pylist())]
+        return pa.array(out, pa.binary()).cast(pa.string())
+
+    return cut
 
 
 def _cleaner(auto, max_coverage: float):
