@@ -4,8 +4,9 @@ A page is stripped of markup and of what its own structure marks as not being
 the article; every block-level boundary ends a line.  Over sliding windows of
 lines the text lengths are summed.  The text surges where a window passes the
 threshold and dives where the windows have fallen to nothing; the surge with
-most text is the body.  Its ends are then moved out to those of the element that
-holds it, so that short paragraphs at either end stay whole.
+most text is the body.  Its ends are then moved out to those of the article or
+main that holds it, or else of the element, so that other surges of the same
+article and short paragraphs at either end stay whole.
 """
 
 from __future__ import annotations
@@ -48,42 +49,76 @@ NAMED = re.compile(rf"(?:^|[\s_-])(?:{WORDS})(?=$|[\s_-])", re.I)
 MARK = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
-def _is_other(name: str, attrs: str, inside_article: bool) -> bool:
-    """Whether an element is marked as not being part of the article."""
+NO, MODIFIED, YES = range(3)
+
+
+def _mark(name: str, attrs: str, inside_article: bool) -> int:
+    """Whether an element is marked as not being part of the article.
+
+    ``MODIFIED``: only by a word within a class or id that starts with another, as in ``has-sidebar``.
+    """
     if name in SKIPPED or name == "header" and not inside_article:
-        return True
+        return YES
     if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return NO
+    found = NO
     for key, *values in MARK.findall(attrs):
         key, value = key.lower(), "".join(values)
-        if key in ("class", "id") and NAMED.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
+        if key in ("class", "id"):
+            value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
+            if NAMED.search(value):
+                if any(NAMED.match(x) for x in value.split()):
+                    return YES
+                found = MODIFIED
         if key == "role" and value.lower() in SKIPPED_ROLES or key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return YES
+    return found
+
+
+Path = tuple[tuple[int, str], ...]
 
 
-def lines_of(html: str) -> list[tuple[str, tuple[int, ...]]]:
-    """(text, elements around it) of each block outside marked elements; elements are numbered in page order."""
-    lines: list[tuple[str, tuple[int, ...]]] = []
+def lines_of(html: str) -> list[tuple[str, Path]]:
+    """(text, holders around it) of each block outside marked elements; holders are numbered in page order.
+
+    An element marked by a modifier stays if no article or main is outside it
+    and it holds one, or most of the text.
+    """
+    lines, modified, articles, chars = _lines(html, frozenset())
+    gone = frozenset(at for at, (inside, size) in modified.items() if articles > inside or not inside and 2 * size <= chars)
+    return _lines(html, gone)[0] if gone else lines
+
+
+def _lines(html: str, gone: frozenset[int]) -> tuple[list[tuple[str, Path]], dict[int, list[int]], int, int]:
+    """The lines without the modified elements that start at ``gone``; (articles, characters) in each other one, and of the page."""
+    lines: list[tuple[str, Path]] = []
+    modified: dict[int, list[int]] = {}
+    within: list[tuple[int, int]] = []  # open modified elements: depth in the stack, start
+    started = chars = 0
     stack: list[tuple[str, bool]] = []  # block elements: name, marked
-    path: list[int] = []  # numbers of the open holders
+    path: list[tuple[int, str]] = []  # the open holders
     holders: list[int] = []  # depths in the stack of the open holders
     text: list[str] = []
     skipped = articles = number = at = 0
 
     def end_line():
+        nonlocal chars
         if text:
             line = " ".join(unescape("".join(text)).split())
             text.clear()
             if line:
                 lines.append((line, tuple(path)))
+                chars += len(line)
+                for _, start in within:
+                    modified[start][1] += len(line)
 
     def pop():
         nonlocal skipped, articles
         name, marked = stack.pop()
         skipped -= marked
         articles -= name in ("article", "main")
+        if within and within[-1][0] == len(stack):
+            within.pop()
         if holders and holders[-1] == len(stack):
             holders.pop()
             path.pop()
@@ -107,8 +142,9 @@ def lines_of(html: str) -> list[tuple[str, tuple[int, ...]]]:
                     pop()
                 pop()
             continue
-        marked = _is_other(name, m["attrs"], articles > 0)
-        if name in INLINE and not marked:
+        mark = _mark(name, m["attrs"], articles > 0)
+        marked = mark == YES or mark == MODIFIED and m.start() in gone
+        if name in INLINE and not mark:
             continue
         end_line()
         if name in VOID or m["attrs"].endswith("/"):
@@ -117,23 +153,31 @@ def lines_of(html: str) -> list[tuple[str, tuple[int, ...]]]:
             pop()
         if name in HOLDERS and not marked:
             number += 1
-            path.append(number)
+            path.append((number, name))
             holders.append(len(stack))
+        if mark == MODIFIED and not marked and not skipped:
+            within.append((len(stack), m.start()))
+            modified[m.start()] = [0, 0]
         stack.append((name, marked))
         skipped += marked
-        articles += name in ("article", "main")
+        if name in ("article", "main"):
+            articles += 1
+            if not skipped:
+                started += 1
+                for _, start in within:
+                    modified[start][0] += 1
     if not skipped and at < len(html):
         text.append(html[at:])
     end_line()
-    return lines
+    return lines, modified, started, chars
 
 
-def surge(sizes: list[int], window: int = WINDOW, least: int = SURGE_CHARS) -> tuple[int, int]:
-    """The run of lines, from a surge to its dive, that has most text; (0, 0) of no lines."""
+def surges(sizes: list[int], window: int = WINDOW, least: int = SURGE_CHARS) -> list[tuple[int, int]]:
+    """The runs of lines from a surge to its dive; that with most text is the first."""
     n = len(sizes)
     blocks = [sum(sizes[i : i + window]) for i in range(n)]
     least = min(least, max(blocks, default=0))
-    best, i = (0, 0, 0), 0
+    runs, i = [], 0
     while i < n:
         if blocks[i] < least or not sizes[i]:
             i += 1
@@ -142,9 +186,19 @@ def surge(sizes: list[int], window: int = WINDOW, least: int = SURGE_CHARS) -> t
         while j < n and blocks[j] >= min(least, blocks[i]) // 2:
             j += 1
         j = min(n, max(j, i + 1))
-        best = max(best, (sum(sizes[i:j]), -i, j))
+        runs.append((i, j))
         i = j
-    return -best[1], best[2]
+    return sorted(runs, key=lambda r: -sum(sizes[slice(*r)]))
+
+
+def _holding(body: list[tuple[str, Path]], kind: str) -> Path:
+    """The path to the outermost element of ``kind`` with over half of the text, if lines are in no second one; else empty."""
+    sizes: dict[Path, int] = {}
+    for text, path in body:
+        at = next((i for i, (_, name) in enumerate(path, 1) if name == kind), 0)
+        sizes[path[:at]] = sizes.get(path[:at], 0) + len(text)
+    out = sizes.pop((), 0)
+    return next((p for p, n in sizes.items() if n > out), ()) if len(sizes) == 1 else ()
 
 
 def main_text(data: bytes | None) -> str:
@@ -152,7 +206,7 @@ def main_text(data: bytes | None) -> str:
     lines = lines_of(data.decode()) if data else []
     if not lines:
         return ""
-    start, end = surge([len(t) for t, _ in lines])
+    (start, end), *others = surges([len(t) for t, _ in lines])
     body = lines[start:end]
     common = body[0][1]
     for _, path in body:
@@ -160,6 +214,14 @@ def main_text(data: bytes | None) -> str:
         while n < min(len(common), len(path)) and common[n] == path[n]:
             n += 1
         common = common[:n]
+    names = [name for _, name in common]
+    whole = _holding(body, "article") or _holding(body, "main")
+    if whole:
+        common = whole
+    elif names[-1:] == ["section"] and names[-2:-1] not in ([], ["body"], ["html"]):
+        # Sections of one element are one text where another of them surges too.
+        if any(path[: len(common) - 1] == common[:-1] for a, b in others for _, path in lines[a:b]):
+            common = common[:-1]
     kept = [t for t, path in lines if path[: len(common)] == common]
     return " ".join(kept)
 
