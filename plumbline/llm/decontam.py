@@ -197,7 +197,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -
             if block and size + len(piece) > BLOCK_WORDS:
                 yield block
                 block, size = [], 0
-            block.append((row.i if row.i is not None else "null", piece))
+            block.append((row.i or "", piece))
             size += len(piece)
     yield block
 
@@ -218,7 +218,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     A window is ``window`` words in a row of an item, or all words of an item of
     fewer.  Null and empty texts have no words, and items without words no
     window; repeated rows stay, repeated items count as one where they share an
-    id; an empty benchmark hits nothing.  Other columns of either table are not
+    id (a null id has the empty name); an empty benchmark hits nothing.  Other columns of either table are not
     read.
     """
     spark = docs.sparkSession
@@ -289,8 +289,8 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.
     blocks = list(_broadcast_blocks(spark, benchmark, item_col, item_text_col, window))
     if len(blocks) > 1:
         return _cut_by_all(docs, blocks, max_coverage, text_col)
-    done = docs.withColumn("__clean", _cleaner(blocks[0], max_coverage)(F.col(text_col))).where(~F.col("__clean.gone"))
-    return done.withColumn(text_col, F.col("__clean.text")).select(*docs.columns)
+    done = docs.select(F.struct("*").alias("doc"), _cleaner(blocks[0], max_coverage)(F.col(text_col)).alias("clean")).where(~F.col("clean.gone"))
+    return done.select(F.col("doc").withField(f"`{text_col}`", F.col("clean.text")).alias("doc")).select("doc.*")
 
 
 def _cut_by_all(docs: DataFrame, blocks: list, max_coverage: float, text_col: str) -> DataFrame:
@@ -298,22 +298,23 @@ def _cut_by_all(docs: DataFrame, blocks: list, max_coverage: float, text_col: st
 
     What was cut goes through all blocks again until none of them hits.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    texts = rows.select(F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    texts = rows.select("row", F.col("doc")[text_col].cast("string").alias("text"))
     hits = written(_hits(texts, blocks), "hits")
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     over = covered > F.lit(max_coverage) * F.col("n_words")
-    gone = hits.where(over).select(F.col("row").alias("__row"))
+    gone = hits.where(over).select("row")
     hits, cleaned = hits.where(~over), []
     while not hits.isEmpty():
         texts = written(texts.join(hits, "row").select("row", _cutter()(F.col("text"), F.col("spans")).alias("text")), "cut")
         hits = written(_hits(texts, blocks), "hits")
         cleaned.append(texts.join(hits, "row", "left_anti"))
-    kept = rows.join(gone, "__row", "left_anti")
+    kept = rows.join(gone, "row", "left_anti")
     if cleaned:
-        new = reduce(DataFrame.union, cleaned).select(F.col("row").alias("__row"), F.col("text").alias("__text"))
-        kept = kept.join(new, "__row", "left").withColumn(text_col, F.coalesce("__text", F.col(text_col).cast("string")))
-    return kept.select(*docs.columns)
+        new = reduce(DataFrame.union, cleaned).select("row", "text")
+        text = F.coalesce("text", F.col("doc")[text_col].cast("string"))
+        kept = kept.join(new, "row", "left").select(F.col("doc").withField(f"`{text_col}`", text).alias("doc"))
+    return kept.select("doc.*")
 
 
 def _hits(texts: DataFrame, blocks: list) -> DataFrame:

@@ -4,8 +4,10 @@ Each document is held against fixed rules.  Failures are counted by host; a
 host's failure rate under each rule is shrunk towards that of all hosts by a
 beta prior fitted to the hosts themselves (moments, with the binomial noise of
 small hosts taken out), so that a host is judged by its own documents only as
-far as it has many.  A host with a shrunk rate above the limit loses all its
-documents; else a document stands or falls by the base rules.
+far as it has many.  A host goes if its rate under a rule is, by the posterior,
+almost surely above the limit: its shrunk rate less ``SURE`` posterior standard
+deviations.  Then it loses all its documents; else a document stands or falls by
+the base rules.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ MAX_REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
 MAX_SYMBOLS_PER_WORD = 1.0
 MAX_DUP_LINE_SHARE = 0.5
-#: A host goes if the shrunk share of its documents that fail a rule is above this.
-MAX_HOST_RATE = 0.9
+#: A host goes if surely more than this share of its documents fails a rule,
+MAX_HOST_RATE = 0.5
+#: that is, by so many posterior standard deviations (95 % one-sided, taken as normal).
+SURE = 1.645
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -88,9 +92,10 @@ def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
     bad = F.lit(False)
     for name in RULES:
         a, b = beta_prior(all_hosts["hosts"], all_hosts["docs"] or 0, all_hosts[f"f_{name}"] or 0, all_hosts[f"q_{name}"] or 0.0)
-        rate = (F.col(f"fail_{name}") + F.lit(a)) / (F.col("docs") + F.lit(a + b))
+        weight = F.col("docs") + F.lit(a + b)
+        rate = (F.col(f"fail_{name}") + F.lit(a)) / weight
         hosts = hosts.withColumn(f"rate_{name}", rate)
-        bad = bad | (rate > max_rate)
+        bad = bad | (rate - SURE * F.sqrt(rate * (1 - rate) / (weight + 1)) > max_rate)
     return hosts.withColumn("host_kept", ~bad)
 
 
@@ -129,15 +134,15 @@ def _measured(texts: pa.Array) -> pa.Array:
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
-    Texts are measured twice, once for the hosts and once where the rows go out,
-    and are not shuffled unless very many hosts are bad.
+    Texts are measured once and written with their measures (without the text
+    where a base rule fails it), and are not shuffled unless very many hosts are
+    bad.  Nulls, repeats and empty tables are as in ``judge``.
     """
     bounded_batches(docs.sparkSession)
-    measured = docs.select(F.col(host_col).cast("string").alias("host"), _measured(F.col(text_col).cast("string")).alias("m")).select("host", "m.*")
-    bad = host_verdicts(measured, max_rate).where(~F.col("host_kept"))
-    bad = bad.select(F.coalesce("host", F.lit("")).alias("__h"), F.col("host").isNull().alias("__n"))
-    rows = docs.withColumn("__m", _measured(F.col(text_col).cast("string")))
-    rows = rows.where(~F.expr(" or ".join(RULES[r] for r in BASE).replace("n_", "__m.n_")))
-    host = F.col(host_col).cast("string")
-    rows = rows.withColumns({"__h": F.coalesce(host, F.lit("")), "__n": host.isNull()})
-    return rows.join(bad, ["__h", "__n"], "left_anti").select(*docs.columns)
+    base = F.expr(" or ".join(RULES[r] for r in BASE).replace("n_", "m.n_"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(host_col).cast("string").alias("host"), _measured(F.col(text_col).cast("string")).alias("m"))
+    rows = written(rows.select("host", "m", F.when(~base, F.col("doc")).alias("doc")), "measured")
+    bad = host_verdicts(rows.select("host", "m.*"), max_rate).where(~F.col("host_kept"))
+    bad = bad.select(F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("no_host"))
+    rows = rows.where(~base).select("doc", F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("no_host"))
+    return rows.join(bad, ["h", "no_host"], "left_anti").select("doc.*")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.runtime import written
 
 #: Blocks of each source.
-BLOCKS = 1024
+BLOCKS = 1 << 14
 SEED = 8
 BISECTIONS = 40
 
@@ -104,21 +104,23 @@ def _order(block: str):
     return F.xxhash64(F.col("__src"), F.col(block), F.lit(SEED + 2))
 
 
-def mix(docs: DataFrame, max_repetition: float | None = 1.25, entropy: float | None = None, budget_tokens: int | None = None, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with each row as often as its source's weight and its place say, and ``copy`` (from 1), ``block``, ``n_tokens``.
+def mix(docs: DataFrame, max_repetition: float | None = 1.25, entropy: float | None = None, budget_tokens: int | None = None, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", told: bool = True) -> DataFrame:
+    """``docs`` with each row as often as its source's weight and its place say, and ``copy`` (from 1), ``block``, ``n_tokens`` if ``told``.
 
     A null source is one of its own.  A source without tokens is taken once.
     Rows that share an id share a place, so they are taken equally often; a
     budget that ends among them leaves them all at the lower number.  An empty
-    table gives none.  All columns of ``docs`` are kept; they must not be named
-    like the three.
+    table gives none.  All columns of ``docs`` are kept, but where the three are
+    told they take the place of columns of their names.
     """
     sources = written(plan(docs, max_repetition, entropy, budget_tokens, source_col, text_col, id_col), "mixing-plan")
     block, rank = _places(id_col)
-    rows = docs.withColumns({"__src": _source(source_col), "__block": block, "__rank": rank})
-    told = sources.select("__src", "copies", "last_block", F.coalesce("last_rank", F.lit(-(1 << 63))).alias("last_rank"), _order("last_block").alias("last_order"))
-    told = told.select(*(F.col(c).alias(c if c == "__src" else f"__{c}") for c in told.columns))
-    here = _order("__block")
-    extra = F.col("__last_block").isNotNull() & ((here < F.col("__last_order")) | ((F.col("__block") == F.col("__last_block")) & (F.col("__rank") <= F.col("__last_rank")) & F.col("__last_rank").isNotNull()))
-    rows = rows.join(told, "__src").withColumn("__n", F.col("__copies") + extra.cast("int")).where("__n > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"), F.col("__block").alias("block"), token_estimate(text_col).alias("n_tokens"))
+    rows = docs.select(F.struct("*").alias("doc"), _source(source_col).alias("__src"), block.alias("place"), rank.alias("rank"), token_estimate(text_col).alias("n_tokens"))
+    ends = sources.select("__src", "copies", "last_block", F.coalesce("last_rank", F.lit(-(1 << 63))).alias("most"), F.col("last_rank").isNotNull().alias("cuts"), _order("last_block").alias("last_order"))
+    extra = F.col("last_block").isNotNull() & ((_order("place") < F.col("last_order")) | ((F.col("place") == F.col("last_block")) & (F.col("rank") <= F.col("most")) & F.col("cuts")))
+    rows = rows.join(ends, "__src").withColumn("n", F.col("copies") + extra.cast("int")).where("n > 0")
+    rows = rows.select("doc", "place", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    if not told:
+        return rows.select("doc.*")
+    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c not in ("copy", "block", "n_tokens")]
+    return rows.select(*kept, "copy", F.col("place").alias("block"), "n_tokens")

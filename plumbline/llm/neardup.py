@@ -167,26 +167,27 @@ def _stars_by_key(batches):
         yield runs(fps, keys, np.array([0]), np.array([len(fps)]))
 
 
-def _in_blocks(keys: DataFrame, fps: DataFrame) -> DataFrame:
+def in_blocks(keys: DataFrame, keys_of, nodes: DataFrame, words: list[str]) -> DataFrame:
     """``keys`` with ``pair``; rows of a key with over ``BLOCK`` fingerprints go to every pair of its blocks.
 
     One fingerprint in 64 tells which keys are so large; that only shapes tasks.
+    ``words`` are the columns of a fingerprint and ``keys_of`` gives the keys of some.
     """
-    sample = ring_keys(fps.where(F.xxhash64("fp").bitwiseAND(F.lit(63)) == 0))
+    sample = keys_of(nodes.where(F.xxhash64(*words).bitwiseAND(F.lit(63)) == 0))
     large = sample.groupBy("key").count().where(F.col("count") * 128 >= BLOCK)
     large = written(large.select("key", F.ceil(F.col("count") * 128 / BLOCK).cast("int").alias("blocks")), "large-keys")
     if large.isEmpty():
         return keys.withColumn("pair", F.lit(0))
-    mine = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("n")).cast("int")
+    mine = F.pmod(F.xxhash64(*words, F.lit(1)), F.col("n")).cast("int")
     others = F.sequence(F.lit(0), F.col("n") - 1)
     pairs = F.transform(others, lambda x: F.least(x, F.col("mine")) * F.col("n") + F.greatest(x, F.col("mine")))
     joined = keys.join(large, "key", "left").withColumn("n", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine)
-    return joined.select("fp", "key", F.explode(pairs).alias("pair"))
+    return joined.select(*words, "key", F.explode(pairs).alias("pair"))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Links ``u`` > ``v`` (as unsigned) between different fingerprints that keep the components whole."""
-    keys = _in_blocks(ring_keys(fps), fps)
+    keys = in_blocks(ring_keys(fps), ring_keys, fps, ["fp"])
     dealt = keys.repartition("key", "pair").sortWithinPartitions("key", "pair").select("fp", "key", "pair")
     return dealt.mapInArrow(_stars_by_key, "u long, v long").distinct()
 
@@ -238,26 +239,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(groups(prints, id_col), "fp").select(id_col, shown, "component_id")
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints_of=fingerprints, groups_of=groups) -> DataFrame:
     """The row with the smallest id of each near-duplicate group, with all its columns.
 
-    Of rows that repeat that id one stays.  A group without any id keeps one row.
+    ``prints_of`` and ``groups_of`` say what a group is.  Of rows that share id
+    and fingerprint one stays, that with the smallest text and then the smallest
+    JSON; rows that share an id but not the group are told apart by their
+    fingerprints.  A group without any id keeps one row.  An empty table gives
+    none.
     """
-    prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    kept = groups(prints, id_col)
-    wins = prints.join(kept, "fp").where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col, "fp").distinct()
-    wins = written(wins, "first")
-    named = wins.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__win")).distinct()
-    out = docs.join(named, docs[id_col] == named["__win"], "left_semi").dropDuplicates([id_col])
-    if wins.where(F.col(id_col).isNull()).isEmpty():
+    prints = written(prints_of(docs, id_col, text_col), "fingerprints")
+    wins = prints.join(groups_of(prints, id_col), "fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    wins = written(wins.groupBy(id_col, "fp").count(), "first")
+    ids = prints.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("rows"))
+    again = written(ids.where("rows > 1 or id is null").select("id"), "repeated-ids")
+    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"))  # no column of docs can clash
+    named = wins.select(F.col(id_col).alias("id")).join(again, "id", "left_anti")
+    out = whole.join(named, "id", "left_semi").select("doc.*")
+    if again.isEmpty():
         return out
-    bare = docs.where(F.col(id_col).isNull())
-    return out.unionByName(_bare_firsts(bare, wins.where(F.col(id_col).isNull()).select("fp"), text_col))
-
-
-def _bare_firsts(bare: DataFrame, fps: DataFrame, text_col: str) -> DataFrame:
-    """One of the rows without id for each of ``fps``: that with the smallest text."""
-    marked = written(bare.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), "bare")
-    prints = per_text(marked, "__sha", text_col, lambda x: (fingerprint(x),), "fp long").distinct()
-    wins = prints.join(fps, "fp").groupBy("fp").agg(F.min("__sha").alias("__sha")).select("__sha")
-    return marked.join(wins, "__sha", "left_semi").dropDuplicates(["__sha"]).drop("__sha")
+    same = F.col("id").eqNullSafe(F.col("again"))
+    rest = whole.join(again.withColumnRenamed("id", "again"), same, "left_semi")
+    told = prints_of(rest.select(F.struct("id", "doc").alias("k"), F.col("doc")[text_col].alias("text")), "k", "text").select("k.*", "fp")
+    first = told.groupBy("id", "fp").agg(F.min_by("doc", F.struct(F.col("doc")[text_col], F.to_json("doc"))).alias("doc"))
+    known = wins.select(F.col(id_col).alias("win"), F.col("fp").alias("win_fp"))
+    chosen = first.join(known, F.col("id").eqNullSafe(F.col("win")) & (F.col("fp") == F.col("win_fp")), "left_semi")
+    return out.unionByName(chosen.select("doc.*"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm.hostrules import BASE, MAX_HOST_RATE, REPEAT_WINDOW, RULES
+from plumbline.llm.hostrules import BASE, MAX_HOST_RATE, REPEAT_WINDOW, RULES, SURE
 from plumbline.llm.warc import MIN_REVISIT_BYTES
 
 OP4 = f"""
@@ -39,7 +39,8 @@ m AS (SELECT w.r, doc_id, host, CAST(len(ws) AS BIGINT) AS n_words,
 h AS (SELECT host, CAST(count(*) AS DOUBLE) AS docs, {", ".join(f"CAST(count(*) FILTER ({rule}) AS DOUBLE) AS fail_{name}" for name, rule in RULES.items())} FROM m GROUP BY host),
 s AS (SELECT CAST(count(*) AS DOUBLE) AS hosts, sum(docs) AS n, {", ".join(f"sum(fail_{x}) AS f_{x}, sum(fail_{x} * fail_{x} / docs) AS q_{x}" for x in RULES)} FROM h),
 prior AS (SELECT {", ".join(map(_prior, RULES))} FROM s),
-bad AS (SELECT host, {" OR ".join(f"(fail_{x} + a_{x}) / (docs + a_{x} + b_{x}) > {MAX_HOST_RATE}" for x in RULES)} AS is_bad FROM h, prior)
+rates AS (SELECT host, {", ".join(f"docs + a_{x} + b_{x} AS w_{x}, (fail_{x} + a_{x}) / (docs + a_{x} + b_{x}) AS r_{x}" for x in RULES)} FROM h, prior),
+bad AS (SELECT host, {" OR ".join(f"r_{x} - {SURE}::DOUBLE * sqrt(r_{x} * (1 - r_{x}) / (w_{x} + 1)) > {MAX_HOST_RATE}" for x in RULES)} AS is_bad FROM rates)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {" OR ".join(RULES[x] for x in BASE)} AS base_failed,
   NOT ({" OR ".join(RULES[x] for x in BASE)}) AND NOT is_bad AS kept
 FROM m JOIN bad ON m.host IS NOT DISTINCT FROM bad.host

@@ -113,7 +113,7 @@ def test_encoder_equals_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     rng = random.Random(1)
     texts = ["".join(rng.choices(["a", "B", "é", " ", "  ", "\n", "\t", "'s", ".", "12", "\x85", "’", "<|endoftext|>"], k=rng.randint(0, 30))) for _ in range(3000)]
-    flat, ends = tokenout.encoder(path)(texts)
+    flat, ends = tokenout.encoder(path, tokenout.rank_table(path))(texts)
     assert [x.tolist() for x in np.split(flat, ends[:-1])] == [e.ids for e in tokencount.load_tokenizer(path).encode_batch(texts, add_special_tokens=False)]
 
 
@@ -142,7 +142,7 @@ def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("first", F.lit(1))
     warc.write_archive(pages, str(tmp_path / "w"))
     read = warc.read_archive(spark, str(tmp_path / "w"))
-    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.digest(read).collect())
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.digest(spark, str(tmp_path / "w")).collect())
     want = Counter()
     for i, _, html in data:
         b = (html or "").encode()

@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontam, hostrules, neardup
+from plumbline.llm import decontam, hostrules, widedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +20,7 @@ def test_stages(spark, tmp_path):
         if i == 0:
             assert ids == {r.doc_id for r in hostrules.judge(was).where("kept").collect()}
         elif i == 1:
-            assert ids == {r.component_id for r in neardup.near_duplicates(was).collect()} and docs.count() == len(ids)
+            assert ids == {r.component_id for r in widedup.similar_documents(was).collect()} and docs.count() == len(ids)
         elif i == 2:
             found = decontam.leak_digest(decontam.find_leaks(was, spark.read.parquet(f"{SF}/benchmark.parquet")))
             assert ids >= {r.doc_id for r in found.where("not contaminated").collect()}
@@ -34,3 +34,19 @@ def test_stages(spark, tmp_path):
 
 def test_run_names_all_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicate removal", "benchmark decontamination", "temperature mixing", "token output"]
+
+
+def test_stages_keep_their_ways_on_odd_rows(spark, tmp_path):
+    """Nulls, repeats, empty tables, and columns named like what the stages use."""
+    odd = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    clash = "copy block n_tokens row text_ host h no_host m doc clean fp key id __src __clean".split()
+    more = spark.createDataFrame([(None, None, None, None, None), (1, "", "", "", 0), (1, "", "", "", 0), (2, "a b " * 30, "x", None, None)], odd.schema)
+    odd = odd.unionByName(more).select("*", *(F.lit(f"mine {c}").alias(c) for c in clash))
+    for name, docs in (("odd", odd), ("none", odd.where("false"))):
+        for i, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            f(spark, docs, SF).write.parquet(str(tmp_path / f"{name}{i}"))
+            was, docs = docs, spark.read.parquet(str(tmp_path / f"{name}{i}"))
+            if i < 4:
+                assert docs.columns == was.columns, stage
+                assert docs.where(" or ".join(f"`{c}` is distinct from 'mine {c}'" for c in clash)).count() == 0, stage
+            assert (docs.count() > 0) == (name == "odd")
