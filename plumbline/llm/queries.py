@@ -36,7 +36,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.digest(warc.read_archive(spark, path))
+    return warc.digest(spark, path)
 
 
 def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,13 +57,9 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     )
     rows.select("page_id", F.encode(header, "utf-8").alias("header"), F.encode(http, "utf-8").alias("http"), "sha256").write.parquet(f"{path}/records")
 
-    # One row of each group brings the bytes: the one with the largest id, so texts are matched by id and not by a digest many share.
-    unique = _payloads(pages, id_col, url_col, html_col).select("page_id", "payload")
-    bringers = firsts.where("first is not null").select(F.col("first").alias("page_id")).distinct()
-    kept = unique.join(bringers, "page_id", "left_semi").select(F.sha2("payload", 256).alias("sha256"), "payload").dropDuplicates(["sha256"])
-    lone = firsts.where("first is null").select("sha256")
-    bare = unique.where("page_id is null").select(F.sha2("payload", 256).alias("sha256"), "payload").join(lone, "sha256", "left_semi").dropDuplicates(["sha256"])
-    kept.unionByName(bare).write.parquet(f"{path}/payloads")
+    # The only time that payloads move: equal ones meet under their digest, after each task has dropped its own repeats.
+    payloads = _payloads(pages, id_col, url_col, html_col).select(F.sha2("payload", 256).alias("sha256"), "payload")
+    payloads.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -92,18 +88,21 @@ def _page_of(name: str):
     return F.nullif(F.regexp_extract(_field(name), "^<urn:page:(.*)>$", 1), F.lit(""))
 
 
-def digest(read: DataFrame) -> DataFrame:
+def digest(spark: SparkSession, path: str) -> DataFrame:
     """What the records read back say: sizes, digests, types and references.
 
-    Size and digest are taken from the payload's bytes; a record whose payload
-    is not verified has them null.
+    Size, digest and verification are taken from each stored payload's bytes
+    where it is read; only these go to its records.  A record whose payload is
+    missing or not verified has size and digest null.
     """
-    kind = read.schema["page_id"].dataType
-    payload = F.when(F.col("verified"), F.col("payload"))
-    return read.select(
-        _page_of("WARC-Record-ID").try_cast(kind).alias("page_id"), F.length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"),
-        _field("WARC-Type").alias("record_type"), _page_of("WARC-Refers-To").try_cast(kind).alias("refers_to"),
+    records = spark.read.parquet(f"{path}/records")
+    kind = records.schema["page_id"].dataType
+    stored = spark.read.parquet(f"{path}/payloads").where(F.sha2("payload", 256) == F.col("sha256"))
+    stored = stored.select("sha256", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    told = records.select(
+        "sha256", _page_of("WARC-Record-ID").try_cast(kind).alias("page_id"), _field("WARC-Type").alias("record_type"), _page_of("WARC-Refers-To").try_cast(kind).alias("refers_to"),
     )
+    return told.join(stored, "sha256", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def parse_warc(data: bytes) -> list[tuple[dict[str, str], bytes]]:
