@@ -14,93 +14,83 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
-from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.runtime import Memory, bounded_batches, keyed_text, slices, word_codes
-from plumbline.llm.tokencount import library_ids, load_tokenizer, special_strings
+from plumbline.llm.runtime import bounded_batches, keyed_text, slices
+from plumbline.llm.tokencount import library_ids, load_tokenizer
 
 #: ORC writer options.
 ROW_INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 BLOOM_FPP = 0.01
-#: Strings whose ids a worker keeps, in each of two generations.
-KEPT_STRINGS = 200_000
-#: White space that sends a text to the library.
-RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+#: Code points on whose class (letter, number, white space, other) all versions of Unicode agree.
+SETTLED = re.compile("[^\\x00-\u024f\u2010-\u2026\u20ac]")
+
+
+def rank_table(path: str) -> dict[bytes, int] | None:
+    """Bytes -> id of a byte-level BPE file, if merging by rank is proved to give the library's ids; else None.
+
+    The library merges listed pairs, a rank encoder any two neighbours that
+    together are a token.  Both do the same if tokens have the order of their
+    merges, each is made by one merge of earlier tokens, and each encodes alone
+    as itself: when the neighbours x, y make the token t and no lower merge is
+    left, what stands there is what t alone comes to before its last merge, so
+    (x, y) is the listed pair.
+    """
+    spec = json.loads(Path(path).read_bytes())
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if before.get("type") != "ByteLevel" or not before.get("use_regex") or before.get("add_prefix_space") or spec.get("normalizer") or model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout"):
+        return None
+    vocab, pairs = model["vocab"], [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+    made = [vocab[a + b] for a, b in pairs]
+    if any(m >= n for m, n in zip(made, made[1:])) or any(max(vocab[a], vocab[b]) >= m for (a, b), m in zip(pairs, made)):
+        return None
+    alone = load_tokenizer(path).model.tokenize
+    if any(len(alone(a + b)) != 1 for a, b in pairs):
+        return None
+    of = byte_letters()
+    return {bytes(of[c] for c in t): i for t, i in vocab.items() if all(c in of for c in t)}
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 class ByteLevelEncoder:
-    """Encodes as the library's byte-level BPE does, with a memory of strings met before.
+    """Encodes as the library's byte-level BPE does, by ranks; nothing is kept from text to text.
 
-    The splitter begins a new piece at each single space before a word and at
-    each word after a single line feed, so the ids of the strings between such
-    places, joined, are the ids of the text.  A text in which white space stands
-    beside white space, or that has code points beyond Latin-1 or special
-    tokens, goes to the library whole.
+    Texts with special tokens or with code points outside ``SETTLED`` go to the
+    library.
     """
 
-    def __init__(self, path: str):
-        self.tok = load_tokenizer(path)
-        special = special_strings(self.tok)
-        self.special = special
-        self.starts = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.ids = Memory(self._library, KEPT_STRINGS)  # little-endian 32-bit integers
+    #: Fixed value: the splitter of byte-level files.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def _is_odd(self, text: str) -> bool:
-        if any(c in text for c in RARE_SPACES) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
-            return True
-        return not _is_latin(text) or bool(self.special) and any(t[:2] in text for t in self.starts) and bool(self.special.search(text))
+    def __init__(self, path: str, ranks: dict[bytes, int]):
+        self.path = path
+        self.ranks = tiktoken.Encoding("byte level", pat_str=self.PIECES, mergeable_ranks=ranks, special_tokens={})
+        added = [t["content"] for t in json.loads(Path(path).read_bytes())["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", ids).tobytes() for ids in library_ids(self.tok, texts)]
+    def _is_odd(self, text: str) -> bool:
+        return bool(not text.isascii() and SETTLED.search(text) or self.special and self.special.search(text))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where those of each text end."""
-        odd = np.array([self._is_odd(t) for t in texts], bool)
-        plain = pa.array(["" if o else t for o, t in zip(odd, texts)], pa.string())
-        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n "), " ")
-        codes, ends, strings = word_codes(lists)
-        strings = strings.to_pylist()
-        # a string is bare, without the space before it, if it starts a text, is a line feed or follows one
-        feed = codes == (strings.index("\n") if "\n" in strings else -1)
-        bare = feed.copy()
-        bare[1:] |= feed[:-1]
-        bare[np.r_[0, ends[:-1]][: len(ends)][np.diff(ends, prepend=0) > 0]] = True
-        which = 2 * codes.astype(np.int64) + bare
-        used = np.zeros(2 * len(strings), bool)
-        used[which] = True
-        kinds = np.flatnonzero(used)
-        which = (np.cumsum(used) - 1)[which]
-        ids = self.ids([strings[k >> 1] if k & 1 else " " + strings[k >> 1] for k in kinds.tolist()])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        begins = np.cumsum(sizes) - sizes
-        n = sizes[which]
-        stops = np.cumsum(n)
-        out = flat[np.repeat(begins[which] - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)]
-        ends = np.r_[0, stops][ends]
-        if odd.any():
-            whole = iter(self._library([t for o, t in zip(odd, texts) if o]))
-            cut = np.split(out, ends[:-1])
-            cut = [np.frombuffer(next(whole), "<u4") if o else x for o, x in zip(odd, cut)]
-            out, ends = np.concatenate(cut), np.cumsum([len(x) for x in cut])
-        return out, ends
-
-
-def _is_latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+        odd = [self._is_odd(t) for t in texts]
+        whole = library_ids(load_tokenizer(self.path), [t for o, t in zip(odd, texts) if o]) if any(odd) else iter(())
+        out = [np.array(next(whole), "<u4") if o else self.ranks.encode_to_numpy(t, disallowed_special=()) for o, t in zip(odd, texts)]
+        return np.concatenate([np.empty(0, "<u4"), *out]).astype("<u4", copy=False), np.cumsum([len(x) for x in out], dtype=np.int64)
 
 
 class LibraryEncoder:
@@ -117,24 +107,23 @@ class LibraryEncoder:
         return np.array([i for x in ids for i in x], "<u4"), np.cumsum([len(x) for x in ids], dtype=np.int64)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """The encoder for a tokenizer file, kept per process."""
-    if path.endswith(".json"):
-        spec = json.loads(load_tokenizer(path).to_str())
-        before = spec.get("pre_tokenizer") or {}
-        if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer"):
-            return ByteLevelEncoder(path)
-    return LibraryEncoder(path)
+_ENCODERS: dict[str, ByteLevelEncoder | LibraryEncoder] = {}
+
+
+def encoder(path: str, ranks: dict[bytes, int] | None):
+    """The encoder for a tokenizer file and its ``rank_table``, kept per process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ByteLevelEncoder(path, ranks) if ranks else LibraryEncoder(path)
+    return _ENCODERS[path]
 
 
 SCHEMA = "key {id_type}, part int, pos long, offset long, n_tokens int, ids array<int>"
 
 
-def _encode(tokenizer_path: str, end_id: int):
+def _encode(tokenizer_path: str, ranks, end_id: int):
     def run(batches):
         part, pos, offset = TaskContext.get().partitionId(), 0, 0
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, ranks.value)
         for batch in slices(batches):
             flat, ends = encode(pc.fill_null(batch.column(1), "").to_pylist())
             n = len(ends)
@@ -155,11 +144,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
     """Write the ids of every row's whole text and ``end_id`` after each, in ascending order of id.
 
     A null text counts as empty; null ids come first; rows that repeat an id
-    follow each other in no set order.  An empty table writes an empty table.
+    follow each other in the order of their texts, null first.  An empty table
+    writes an empty table.
     """
-    source = keyed_text(docs, id_col, text_col).repartitionByRange("key").sortWithinPartitions("key")
+    ranks = docs.sparkSession.sparkContext.broadcast(rank_table(tokenizer_path) if tokenizer_path.endswith(".json") else None)
+    source = keyed_text(docs, id_col, text_col).repartitionByRange("key").sortWithinPartitions("key", "text")
     schema = SCHEMA.format(id_type=docs.schema[id_col].dataType.simpleString())
-    rows = source.mapInArrow(_encode(tokenizer_path, end_id), schema).withColumnRenamed("key", id_col)
+    rows = source.mapInArrow(_encode(tokenizer_path, ranks, end_id), schema).withColumnRenamed("key", id_col)
     options = {
         "orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": str(BLOOM_FPP), "orc.create.index": "true",
         "orc.row.index.stride": str(ROW_INDEX_STRIDE), "orc.stripe.size": str(STRIPE_BYTES), "compression": "zstd",
