@@ -143,6 +143,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     rows = docs.select(F.struct("*").alias("doc"), F.col(host_col).cast("string").alias("host"), _measured(F.col(text_col).cast("string")).alias("m"))
     rows = written(rows.select("host", "m", F.when(~base, F.col("doc")).alias("doc")), "measured")
     bad = host_verdicts(rows.select("host", "m.*"), max_rate).where(~F.col("host_kept"))
-    bad = bad.select(F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("no_host"))
+    bad = written(bad.select(F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("no_host")), "bad-hosts")  # so that its size is known
     rows = rows.where(~base).select("doc", F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("no_host"))
     return rows.join(bad, ["h", "no_host"], "left_anti").select("doc.*")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.runtime import written
 
 #: Blocks of each source.
-BLOCKS = 1 << 14
+BLOCKS = 1 << 12
 SEED = 8
 BISECTIONS = 40
 

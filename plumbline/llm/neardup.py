@@ -255,7 +255,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = written(ids.where("rows > 1 or id is null").select("id"), "repeated-ids")
     whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"))  # no column of docs can clash
     named = wins.select(F.col(id_col).alias("id")).join(again, "id", "left_anti")
-    out = whole.join(named, "id", "left_semi").select("doc.*")
+    out = whole.join(named.hint("merge"), "id", "left_semi").select("doc.*")  # ids of most rows: never for a broadcast
     if again.isEmpty():
         return out
     same = F.col("id").eqNullSafe(F.col("again"))
