@@ -68,10 +68,13 @@ def evidence_document(contexts: Column) -> Column:
 
 
 def occurrences(text: Column, quote: Column) -> Column:
-    """All 0-based places of ``quote``, also overlapping ones."""
-    last = F.char_length(text) - F.char_length(quote)
-    places = F.when((last >= 0) & (F.char_length(quote) > 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: F.substr(text, i + 1, F.char_length(quote)) == quote)
+    """All 0-based places of ``quote``, also overlapping ones: the text is cut before each, and lengths are summed."""
+    none = F.array().cast("array<int>")
+    ahead = F.concat(F.lit("(?=\\Q"), F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    pieces = F.split(text, ahead)
+    ends = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), none, lambda at, p: F.concat(at, F.array(F.coalesce(F.try_element_at(at, F.lit(-1)), F.lit(0)) + F.char_length(p))))
+    found = F.concat(F.when(text.startswith(quote), F.array(F.lit(0))).otherwise(none), ends)
+    return F.when((F.char_length(quote) > 0) & F.contains(text, quote), found).otherwise(none)
 
 
 def draw(seed: int, *key: Column) -> Column:

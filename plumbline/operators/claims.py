@@ -7,7 +7,10 @@ before give each statement's offset in the original.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import light_token_count
@@ -15,7 +18,7 @@ from plumbline.functions.text import light_token_count
 CUT, DOT = "\u0001", "\u0002"
 # Fixed values.
 ABBREVIATIONS = "dr|mr|mrs|ms|prof|sr|jr|e\\.g|i\\.e|vs|no|fig|approx"
-CONJUNCTION = "(?i)\\b(?:and|as well as|while|whereas)\\b|以及|并且|同时|而且"
+CONJUNCTION = "(?iU)\\b(?:and|as well as|while|whereas)\\b|以及|并且|同时|而且"
 LONG_TOKENS, COMPOUND_TOKENS = 80, 40
 MARKER = "(?:\\d{1,2}[.)）、]|[-*•])\\s+"
 
@@ -35,32 +38,54 @@ def marked(text: Column) -> Column:
     return text
 
 
-def split_claims(df: DataFrame, key: str, text_col: str, long_tokens: int = LONG_TOKENS, compound_tokens: int = COMPOUND_TOKENS) -> DataFrame:
-    """``key``, ``claim_no``, ``claim``, ``claim_start``, ``claim_end``, ``token_count``, ``features``, ``review_reasons``.
+def split_claims(df: DataFrame, key: str, text_col: str, long_tokens: int = LONG_TOKENS, compound_tokens: int = COMPOUND_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns ``keep``, ``claim_no``, ``claim``, ``claim_start``, ``claim_end``, ``token_count``, ``features``, ``review_reasons``.
 
-    ``key`` is unique.  Only segments, not texts, go through the shuffle.
+    Nothing is shuffled: a text's segments stay in its row until their offsets,
+    running sums of their lengths, are known.  A null text has no statement.
     """
-    parts = df.select(key, F.posexplode(F.split(marked(F.col(text_col)), CUT)).alias("part", "seg"))
-    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("at", F.coalesce(F.sum(F.char_length("seg")).over(before), F.lit(0)))
-    parts = parts.withColumn("seg", F.translate("seg", DOT, "."))
-    lead = F.regexp_extract("seg", f"(?U)^(\\s*(?:{MARKER})?)\\S", 1)
-    core = F.regexp_replace(F.substr("seg", F.char_length("lead") + 1), "(?U)\\s*[。！？；;.!?]*\\s*$", "")
-    parts = parts.withColumn("lead", lead).withColumn("claim", core).where("claim != ''")
-    number = F.row_number().over(Window.partitionBy(key).orderBy("part"))
+    segments = F.transform(F.split(marked(F.col(text_col)), CUT), lambda x: F.translate(x, DOT, "."))
+
+    def part(seg):
+        lead = F.regexp_extract(seg, f"(?U)^(\\s*(?:{MARKER})?)\\S", 1)
+        core = F.regexp_replace(F.substr(seg, F.char_length(lead) + 1), "(?U)\\s*[。！？；;.!?]*\\s*$", "")
+        return F.struct(F.char_length(seg).alias("size"), lead.alias("lead"), core.alias("claim"))
+
+    source = df.select(F.struct(key, *keep).alias("kept"), F.transform(segments, part).alias("parts"))
+    kinds = ", ".join(f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    parts = source.mapInArrow(_placed, f"kept struct<{kinds}>, claim_no int, start int, lead string, claim string")
     tokens = light_token_count(F.col("claim"))
     sign = F.substring(F.regexp_replace("lead", "(?U)^\\s+", ""), 1, 1)
     features = F.when(sign == "", F.array().cast("array<string>")).when(sign.rlike("\\d"), F.array(F.lit("numbered_list_item"))).otherwise(F.array(F.lit("bullet_list_item")))
     reasons = F.array_compact(F.array(F.when(tokens > long_tokens, "long_claim"), F.when(F.col("claim").rlike(CONJUNCTION) & (tokens >= compound_tokens), "possible_compound_claim")))
-    start = (F.col("at") + F.char_length("lead")).cast("int")
-    return parts.select(key, number.alias("claim_no"), "claim", start.alias("claim_start"), (start + F.char_length("claim")).alias("claim_end"), tokens.alias("token_count"), features.alias("features"), reasons.alias("review_reasons"))
+    end = F.col("start") + F.char_length("claim")
+    return parts.select("kept.*", "claim_no", "claim", F.col("start").alias("claim_start"), end.alias("claim_end"), tokens.alias("token_count"), features.alias("features"), reasons.alias("review_reasons"))
+
+
+def _placed(batches):
+    """Rows of (kept, parts) as one row for each part with a statement: its number and its offset in the text."""
+    for batch in batches:
+        lists = batch.column(1)
+        each = lists.flatten()
+        owner = pc.list_parent_indices(lists).to_numpy()
+        sizes, lead, claim = (each.field(i) for i in range(3))
+        n = sizes.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.searchsorted(owner, owner)  # the first part of the same text
+        before = np.cumsum(n) - n
+        start = before - before[first] + pc.utf8_length(lead).to_numpy(zero_copy_only=False)
+        said = pc.not_equal(claim, "").to_numpy(zero_copy_only=False)
+        count = np.cumsum(said)
+        number = count - (count - said)[first]
+        at = pa.array(np.flatnonzero(said))
+        columns = [batch.column(0).take(pa.array(owner[said])), pa.array(number[said].astype(np.int32)), pa.array(start[said].astype(np.int32)), lead.take(at), claim.take(at)]
+        yield pa.RecordBatch.from_arrays(columns, names=["kept", "claim_no", "start", "lead", "claim"])
 
 
 #: The same in SQL; {src} has the columns k and t.
 SPLIT_SQL = r"""
 s0 as (select k, regexp_replace(t, '[\x01\x02]', ' ', 'g') t from {src}),
 s1 as (select k, regexp_replace(t, '(?m)^([ \t]*[0-9]{{1,2}})\.(\s)', '\1' || chr(2) || '\2', 'g') t from s0),
-s2 as (select k, regexp_replace(regexp_replace(t, '(?i)(^|[^A-Za-z.])(dr|mr|mrs|ms|prof|sr|jr|e\.g|i\.e|vs|no|fig|approx)\.([^.!?]|$)', '\1\2' || chr(2) || '\3', 'g'), '(?i)(^|[^A-Za-z.])(dr|mr|mrs|ms|prof|sr|jr|e\.g|i\.e|vs|no|fig|approx)\.([^.!?]|$)', '\1\2' || chr(2) || '\3', 'g') t from s1),
+s2 as (select k, regexp_replace(regexp_replace(t, '(?i)(^|[^A-Za-z.])(@ABBREVIATIONS)\.([^.!?]|$)', '\1\2' || chr(2) || '\3', 'g'), '(?i)(^|[^A-Za-z.])(@ABBREVIATIONS)\.([^.!?]|$)', '\1\2' || chr(2) || '\3', 'g') t from s1),
 s3 as (select k, regexp_replace(regexp_replace(t, '(^|[^A-Za-z.])((?:[A-Za-z]\.)+[A-Za-z])\.([^.!?]|$)', '\1\2' || chr(2) || '\3', 'g'), '(^|[^A-Za-z.])((?:[A-Za-z]\.)+[A-Za-z])\.([^.!?]|$)', '\1\2' || chr(2) || '\3', 'g') t from s2),
 s4 as (select k, regexp_replace(regexp_replace(t, '(^|[^.!?])\.([^\s.!?])', '\1' || chr(2) || '\2', 'g'), '(^|[^.!?])\.([^\s.!?])', '\1' || chr(2) || '\2', 'g') t from s3),
 s5 as (select k, regexp_replace(t, '([。！？；;]+|[.!?]+)', '\1' || chr(1), 'g') t from s4),
@@ -70,6 +95,6 @@ parts as (select k, unnest(string_split(t, chr(1))) seg, generate_subscripts(str
 placed as (select k, part, translate(seg, chr(2), '.') seg, coalesce(sum(length(seg)) over (partition by k order by part rows between unbounded preceding and 1 preceding), 0) at0 from parts),
 led as (select *, regexp_extract(seg, '^(\s*(?:(?:[0-9]{{1,2}}[.)）、]|[-*•])\s+)?)\S', 1) lead from placed),
 cored as (select *, regexp_replace(substr(seg, length(lead) + 1), '\s*[。！？；;.!?]*\s*$', '') claim from led),
-claims as (select k, cast(row_number() over (partition by k order by part) as integer) claim_no, claim, cast(at0 + length(lead) as integer) claim_start, cast(at0 + length(lead) + length(claim) as integer) claim_end,
+claims as (select k, lead, cast(row_number() over (partition by k order by part) as integer) claim_no, claim, cast(at0 + length(lead) as integer) claim_start, cast(at0 + length(lead) + length(claim) as integer) claim_end,
   cast(len(regexp_extract_all(claim, '[A-Za-z0-9]+|[一-鿿]')) as integer) token_count from cored where claim != '')
-"""
+""".replace("@ABBREVIATIONS", ABBREVIATIONS)

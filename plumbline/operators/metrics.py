@@ -14,8 +14,11 @@ Z = 1.959963984540054
 
 
 def confusion(rows: DataFrame, by: list[str] = ()) -> DataFrame:
-    """``gold``, ``pred``, ``n`` for each pair of labels, with zeros; ``pred`` can be an abstention."""
-    counts = rows.groupBy(*by, "gold", "pred").agg(F.count("*").alias("n"))
+    """``gold``, ``pred``, ``n`` for each pair of labels, with zeros; ``pred`` can be an abstention; other labels raise."""
+    known = F.coalesce(F.col("gold").isin(*LABELS) & F.col("pred").isin(*LABELS, REVIEW), F.lit(False))
+    wrong = F.concat(F.lit("unknown label: "), F.coalesce("gold", F.lit("null")), F.lit(", "), F.coalesce("pred", F.lit("null")))
+    counts = rows.withColumn("gold", F.when(known, F.col("gold")).otherwise(F.raise_error(wrong).cast("string")))
+    counts = counts.groupBy(*by, "gold", "pred").agg(F.count("*").alias("n"))
     cells = F.array(*(F.struct(F.lit(g).alias("gold"), F.lit(p).alias("pred")) for g in LABELS for p in (*LABELS, REVIEW)))
     groups = counts.select(*by).distinct() if by else rows.sparkSession.range(1).select()
     grid = groups.select(*by, F.inline(cells))

@@ -9,37 +9,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import draw
+from plumbline.functions.text import draw, terms
 
 #: Candidate vectors in one broadcast, about.
 DENSE_BLOCK = 1 << 16
 
 
-def bm25(queries: DataFrame, passages: DataFrame, tokens, *, group: str, numerator: float, k1: float, b: float = 0.75, least_length: float = 1.0, distinct_terms: bool, digits: int | None) -> DataFrame:
-    """``qid``, ``pos`` and ``score`` of each passage of the query's group.
+def bm25(queries: DataFrame, passages: DataFrame, tokens, *, group: str, numerator: float, k1: float, b: float = 0.75, least_length: float = 1.0, distinct_terms: bool, digits: int) -> DataFrame:
+    """``qid``, ``pos``, ``score`` and ``overlap`` (different shared terms) of each passage of the query's group.
 
     ``queries`` has qid, ``group`` and query; ``passages`` has ``group``, pos and
-    text.  Passages are cut into terms once for their group; only terms of a query
-    meet, on (group, term), so no list of a group's passages is built.
+    text.  Passages are cut into terms once; lengths and document frequencies
+    come from these counts by windows, and only terms of a query meet them, on
+    (group, term), so no list of a group's passages is built.  Scores are rounded
+    to ``digits``, so that the order of a sum decides no rank.
     """
-    lengths = passages.select(group, "pos", F.size(tokens(F.col("text"))).alias("dl"))
+    tf = passages.select(group, "pos", F.explode_outer(tokens(F.col("text"))).alias("term")).groupBy(group, "pos", "term").agg(F.count("term").alias("tf"))
+    tf = tf.withColumn("dl", F.sum("tf").over(Window.partitionBy(group, "pos")))
+    lengths = tf.groupBy(group, "pos").agg(F.max("dl").alias("dl"))
     sizes = lengths.groupBy(group).agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(least_length)).alias("avgdl"))
-    tf = passages.select(group, "pos", F.explode(tokens(F.col("text"))).alias("term")).groupBy(group, "pos", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(group, "term").agg(F.count("*").alias("df"))
+    tf = tf.where("term is not null").withColumn("df", F.count("*").over(Window.partitionBy(group, "term")))
     asked = queries.select("qid", group, F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", group, "term").agg((F.lit(1) if distinct_terms else F.count("*")).alias("times"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     part = F.col("times") * idf * F.col("tf") * F.lit(numerator) / (F.col("tf") + norm)
-    hits = asked.join(tf, [group, "term"]).join(df, [group, "term"]).join(sizes, group).join(lengths, [group, "pos"])
-    scores = hits.groupBy("qid", "pos").agg(F.sum(part).alias("score"))
+    hits = asked.join(tf, [group, "term"]).join(sizes, group)
+    scores = hits.groupBy("qid", "pos").agg(F.sum(part).alias("score"), F.count("*").alias("overlap"))
     pool = queries.select("qid", group).join(lengths.select(group, "pos"), group)
-    score = F.coalesce("score", F.lit(0.0))
-    return pool.join(scores, ["qid", "pos"], "left").select("qid", "pos", (F.round(score, digits) if digits is not None else score).alias("score"))
+    return pool.join(scores, ["qid", "pos"], "left").select("qid", "pos", F.round(F.coalesce("score", F.lit(0.0)), digits).alias("score"), F.coalesce("overlap", F.lit(0).cast("long")).alias("overlap"))
 
 
-def ranked(scored: DataFrame) -> DataFrame:
+def ranked(scored: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """``rank`` from 1 by falling score; ties by place."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pos")))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "pos")))
 
 
 def evidence_filter(scored: DataFrame, overlap: Column, k: int) -> DataFrame:
@@ -49,28 +51,30 @@ def evidence_filter(scored: DataFrame, overlap: Column, k: int) -> DataFrame:
     return again.where(F.col("kept_rank") <= k) if k else again
 
 
+def extractive_answers(queries: DataFrame, sentences: DataFrame, refusal: str, stop: str = "。") -> DataFrame:
+    """``qid``, ``score`` and ``answer``: the evidence's first sentence that shares most terms with the query, or the refusal.
+
+    ``sentences`` has qid, kept_rank, claim_no and claim in the order of the evidence.
+    """
+    asked = queries.select("qid", F.array_distinct(terms(F.col("query"))).alias("asked"))
+    shared = F.size(F.array_intersect(F.col("asked"), terms(F.col("claim"))))
+    best = sentences.join(asked, "qid").groupBy("qid").agg(F.max_by(F.struct(shared.alias("score"), "claim"), F.struct(shared, -F.col("kept_rank"), -F.col("claim_no"))).alias("b"))
+    score = F.coalesce(F.col("b.score"), F.lit(0)).cast("long")
+    claim = F.col("b.claim")
+    said = F.when(claim.endswith(stop), claim).otherwise(F.concat(claim, F.lit(stop)))
+    return queries.join(best, "qid", "left").select("qid", score.alias("score"), F.when(score == 0, refusal).otherwise(said).alias("answer"))
+
+
 def top_k(scored: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """For each k the ranking's first k in source order; ranked once for all k."""
     cut = scored.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("rank <= k")
     return cut.withColumn("source_order", F.row_number().over(Window.partitionBy("qid", "k").orderBy("pos")))
 
 
-def budgeted(scored: DataFrame, cost: str, fixed: Column, budget: int, k: int) -> DataFrame:
-    """Greedy choice in rank order: a passage that does not fit is skipped and smaller ones are tried on.
-
-    ``cost`` is the passages' column of tokens; the budget starts from ``fixed``.
-    """
-    row = F.struct("rank", "pos", F.col(cost).cast("long").alias("cost"))
-    pools = scored.groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("pool"), F.first(fixed).cast("long").alias("fixed"))
-    start = F.struct(F.col("fixed").alias("used"), F.array().cast("array<bigint>").alias("chosen"))
-    fits = lambda s, x: (s["used"] + x["cost"] <= budget) & (F.size(s["chosen"]) < k)
-    step = lambda s, x: F.when(fits(s, x), F.struct((s["used"] + x["cost"]).alias("used"), F.concat(s["chosen"], F.array(x["pos"].cast("long"))).alias("chosen"))).otherwise(s)
-    return pools.select("qid", F.aggregate("pool", start, step).alias("s")).select("qid", F.col("s.used").alias("used"), F.col("s.chosen").alias("chosen"))
-
-
 def exact_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` rows (or all), chosen by a hash of seed and key, whatever the partitions."""
-    return df.orderBy(draw(seed, F.col(key)), F.col(key)).limit(n)
+    """Exactly ``n`` rows (or all) with ``drawn``, their place in the draw: by a hash of seed and key, whatever the partitions."""
+    first = df.withColumn("drawn", draw(seed, F.col(key))).orderBy("drawn", key).limit(n)
+    return first.withColumn("drawn", F.row_number().over(Window.orderBy("drawn", key)))  # n rows
 
 
 def dense_topk(vectors: DataFrame, id_col: str, vector_col: str, k: int, digits: int = 4) -> DataFrame:

@@ -28,8 +28,9 @@ def overlaps(claims: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 
 
 def projected(claims: DataFrame, overlapping: DataFrame, claim_key: list[str]) -> DataFrame:
-    """The label that the overlapping spans give each claim, and why it should be looked at again."""
-    kind = F.col("label_type")
+    """The label that the overlapping spans give each claim, and why it should be looked at again; a type that is not known raises."""
+    known = F.coalesce(F.col("label_type").isin(*CONFLICT_TYPES, *UNSUPPORTED_TYPES), F.lit(False))
+    kind = F.when(known, F.col("label_type")).otherwise(F.raise_error(F.concat(F.lit("unknown span type: "), F.coalesce("label_type", F.lit("null")))).cast("string"))
     told = overlapping.groupBy(*claim_key).agg(
         F.count("*").alias("n_spans"), F.max(kind.isin(*CONFLICT_TYPES)).alias("conflict"), F.max(kind.isin(*UNSUPPORTED_TYPES)).alias("baseless"),
         F.max(kind.startswith("Subtle ")).alias("subtle"), F.max(F.col("claim_ratio") < LOW_CLAIM_RATIO).alias("low"),

@@ -1,8 +1,7 @@
 """Queries over answers (assistant turns), their statements and their contexts.
 
 ``responses`` are assistant turns with the turn before as the query;
-``contexts`` of a conversation are the documents whose id falls on it; queries
-whose SQL takes the first three have a form ``_all`` over the whole pool;
+``contexts`` of a conversation are all documents whose id falls on it;
 ``spans`` stand for annotated spans, taken from ``labels``.
 """
 
@@ -11,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import ABSTENTION_PATTERNS, ENGLISH_STOPWORDS, STOPWORDS, evidence_document, has_negative, light_token_count, terms, words
+from plumbline.functions.text import ABSTENTION_PATTERNS, ENGLISH_STOPWORDS, NEGATIVE_WORDS, STOPWORDS, evidence_document, has_negative, light_token_count, strip, terms, words
 from plumbline.operators import audit, checks, metrics, ranking, spans, verdicts
 from plumbline.operators.chunks import chunked
 from plumbline.operators.claims import SPLIT_SQL, split_claims
-from plumbline.plans.registry import ORACLES, query
+from plumbline.plans.registry import query
 from plumbline.session import table
 
+STRIP_SQL = "regexp_replace({t}, '^[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+|[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+$', '', 'g')"
+NEGATIVE_SQL = "|".join(NEGATIVE_WORDS)
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOPWORDS + ENGLISH_STOPWORDS) + ")"
 
 
@@ -28,16 +29,12 @@ def responses(spark, d) -> DataFrame:
 
 
 def contexts(spark, d) -> DataFrame:
-    n = table(spark, d, "conversations").agg(F.count_distinct("conv_id").alias("n")).first()["n"]  # one number
-    docs = table(spark, d, "documents").withColumn("conv_id", F.col("doc_id") % n)
+    n = table(spark, d, "conversations").agg(F.count_distinct("conv_id").alias("n"))  # one row
+    docs = table(spark, d, "documents").crossJoin(F.broadcast(n)).withColumn("conv_id", F.col("doc_id") % F.col("n"))
     pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("doc_id"))
     return docs.withColumn("pos", pos).select("conv_id", "pos", "doc_id", "text")
 
 
-def first_contexts(spark, d) -> DataFrame:
-    return contexts(spark, d).where("pos <= 3")
-
-
 def gold_spans(spark, d) -> DataFrame:
     both = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     kinds = F.array(
@@ -52,7 +49,7 @@ turns as (select conv_id, turn, role, text, lag(text) over (partition by conv_id
 responses as (select conv_id * 1000 + turn qid, conv_id, query, text answer from turns where role = 'assistant')"""
 CONTEXTS_SQL = """
 placed_docs as (select doc_id % (select count(distinct conv_id) from conversations) conv_id, doc_id, text from documents),
-contexts as (select * from (select conv_id, cast(row_number() over (partition by conv_id order by doc_id) as integer) pos, doc_id, text from placed_docs) x where pos <= 3)"""
+contexts as (select * from (select conv_id, cast(row_number() over (partition by conv_id order by doc_id) as integer) pos, doc_id, text from placed_docs) x)"""
 SPANS_SQL = """
 spans as (select doc_id, 0 span_start, cast(least(120, n_chars) as integer) span_end, 'Evident Conflict' label_type from labels join documents using (doc_id) where toxic = 1 and n_chars > 0
   union all select doc_id, 60, cast(least(200, n_chars) as integer), 'Evident Baseless Info' from labels join documents using (doc_id) where quality = 0 and n_chars > 60)"""
@@ -132,7 +129,7 @@ def token_counts_by_tokenizer(spark, d):
     return table(spark, d, "documents").select("doc_id", light_token_count(t).alias("light_tokens"), F.size(terms(t)).cast("long").alias("terms"), F.size(F.array_distinct(terms(t))).cast("long").alias("distinct_terms"), F.size(words(t)).cast("long").alias("words"))
 
 
-def _bm25_sql(tokens: str, stop: str, numerator: float, k1: float, distinct: bool, floor: str) -> str:
+def _bm25_sql(tokens: str, stop: str, numerator: float, k1: float, distinct: bool, floor: str, by: str) -> str:
     times = "1" if distinct else "count(*)"
     return f"""with {RESPONSES_SQL.strip()}, {CONTEXTS_SQL.strip()},
 ct as (select conv_id, pos, unnest({tokens.format(t='text')}) term from contexts), ctf as (select * from ct {stop}),
@@ -140,15 +137,15 @@ tf as (select conv_id, pos, term, count(*) tf from ctf group by conv_id, pos, te
 dl as (select c.conv_id, c.pos, coalesce(x.dl, 0) dl from contexts c left join (select conv_id, pos, count(*) dl from ctf group by conv_id, pos) x on c.conv_id = x.conv_id and c.pos = x.pos),
 sz as (select conv_id, count(*) n, greatest(avg(dl), {floor}) avgdl from dl group by conv_id),
 qt as (select qid, conv_id, unnest({tokens.format(t='query')}) term from responses), qn as (select qid, conv_id, term, {times} times from (select * from qt {stop}) x group by qid, conv_id, term),
-sc as (select q.qid, t.pos, sum(q.times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {numerator} / (tf + {k1} * (0.25 + 0.75 * dl.dl / avgdl))) score
+sc as (select q.qid, t.pos, count(*) overlap, sum(q.times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {numerator} / (tf + {k1} * (0.25 + 0.75 * dl.dl / avgdl))) score
   from qn q join tf t on q.conv_id = t.conv_id and q.term = t.term join df on df.conv_id = q.conv_id and df.term = q.term join sz on sz.conv_id = q.conv_id join dl on dl.conv_id = t.conv_id and dl.pos = t.pos group by q.qid, t.pos),
-scored as (select r.qid, dl.pos, round(coalesce(score, 0), 4) score from responses r join dl on dl.conv_id = r.conv_id left join sc on sc.qid = r.qid and sc.pos = dl.pos),
-ranked as (select *, cast(row_number() over (partition by qid order by score desc, pos) as integer) rank from scored)"""
+scored as (select r.qid, dl.pos, coalesce(overlap, 0) overlap, round(coalesce(score, 0), 4) score, round(coalesce(score, 0), 9) full_score from responses r join dl on dl.conv_id = r.conv_id left join sc on sc.qid = r.qid and sc.pos = dl.pos),
+ranked as (select *, cast(row_number() over (partition by qid order by {by} desc, pos) as integer) rank from scored)"""
 
 
 TOKENS_A_SQL = "list_concat(regexp_extract_all({t}, '[一-鿿]'), regexp_extract_all(lower({t}), '[a-z0-9]+'))"
-RETRIEVAL_SQL = _bm25_sql(TOKENS_A_SQL, f"where term not in {STOP_SQL}", 2.0, 1.2, False, "1")
-SELECTION_SQL = _bm25_sql("regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+')", "", 2.5, 1.5, True, "1")
+RETRIEVAL_SQL = _bm25_sql(TOKENS_A_SQL, f"where term not in {STOP_SQL}", 2.0, 1.2, False, "1", "score")
+SELECTION_SQL = _bm25_sql("regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+')", "", 2.5, 1.5, True, "1", "full_score")
 
 
 def retrieval(spark, d, pool):
@@ -156,36 +153,27 @@ def retrieval(spark, d, pool):
 
 
 def selection(spark, d, pool):
-    scored = ranking.bm25(responses(spark, d), pool(spark, d), words, group="conv_id", numerator=2.5, k1=1.5, distinct_terms=True, digits=4)
-    return ranking.ranked(scored)
+    return ranking.ranked(ranking.bm25(responses(spark, d), pool(spark, d), words, group="conv_id", numerator=2.5, k1=1.5, distinct_terms=True, digits=9))
 
 
 @query(RETRIEVAL_SQL + " select qid, pos, score, rank from ranked")
-def bm25_retrieval(spark, d, pool=first_contexts):
+def bm25_retrieval(spark, d, pool=contexts):
     return retrieval(spark, d, pool).select("qid", "pos", "score", "rank")
 
 
 @query(SELECTION_SQL + " select qid, pos, score, rank from ranked")
-def bm25_selection(spark, d, pool=first_contexts):
-    return selection(spark, d, pool).select("qid", "pos", "score", "rank")
+def bm25_selection(spark, d, pool=contexts):
+    return selection(spark, d, pool).select("qid", "pos", F.round("score", 4).alias("score"), "rank")
 
 
 @query(SELECTION_SQL + " select qid, k, pos, rank, cast(row_number() over (partition by qid, k order by pos) as integer) source_order from ranked, (select unnest([1, 3, 5]) k) ks where rank <= k")
-def topk_source_order(spark, d, pool=first_contexts):
+def topk_source_order(spark, d, pool=contexts):
     return ranking.top_k(selection(spark, d, pool)).select("qid", "k", "pos", "rank", "source_order")
 
 
-@query(RETRIEVAL_SQL + " select qid, pos, cast(row_number() over (partition by qid order by rank) as integer) kept_rank from ranked where score > 0 or rank = 1 qualify row_number() over (partition by qid order by rank) <= 2")
-def evidence_filter_topk(spark, d, pool=first_contexts):
-    # A score is positive exactly where a term is shared.
-    return ranking.evidence_filter(retrieval(spark, d, pool), (F.col("score") > 0).cast("int"), 2).select("qid", "pos", "kept_rank")
-
-
-@query()
-def budget_select(spark, d):
-    lengths = contexts(spark, d).select("conv_id", "pos", F.size(words(F.col("text"))).alias("cost"))
-    pool = selection(spark, d, contexts).join(responses(spark, d).select("qid", "conv_id"), "qid").join(lengths, ["conv_id", "pos"])
-    return ranking.budgeted(pool, "cost", F.lit(2), 512, 3).withColumn("chosen", F.array_join(F.transform("chosen", lambda x: x.cast("string")), ","))
+@query(RETRIEVAL_SQL + " select qid, pos, cast(row_number() over (partition by qid order by rank) as integer) kept_rank from ranked where overlap > 0 or rank = 1 qualify row_number() over (partition by qid order by rank) <= 2")
+def evidence_filter_topk(spark, d, pool=contexts):
+    return ranking.evidence_filter(retrieval(spark, d, pool), F.col("overlap"), 2).select("qid", "pos", "kept_rank")
 
 
 RULE_SQL = f"""with {RESPONSES_SQL.strip()}, {CONTEXTS_SQL.strip()}, {SPLIT_SQL.format(src="(select qid k, answer t from responses)").strip()},
@@ -197,7 +185,7 @@ nt as (select qid, claim_no, count(*) n_terms from ct group by qid, claim_no),
 sc as (select cl.qid, cl.claim_no, cl.claim, c.pos, c.text, coalesce(overlap, 0) overlap, coalesce(n_terms, 0) n_terms, row_number() over (partition by cl.qid, cl.claim_no order by coalesce(overlap, 0) desc, c.pos) r
   from cl left join contexts c on c.conv_id = cl.conv_id left join ov on ov.qid = cl.qid and ov.claim_no = cl.claim_no and ov.pos = c.pos left join nt on nt.qid = cl.qid and nt.claim_no = cl.claim_no),
 v as (select qid, claim_no, pos, cast(overlap as bigint) overlap, case when pos is null then 'unsupported' when regexp_matches(lower(claim), '{"|".join(ABSTENTION_PATTERNS)}') then 'supported' when overlap = 0 or overlap::double / greatest(n_terms, 1) < 0.2 then 'unsupported'
-  when regexp_matches(claim, '不|无|未|尚|仅|禁止|否|no|never|unable') <> regexp_matches(text, '不|无|未|尚|仅|禁止|否|no|never|unable') then 'conflict' else 'supported' end as label from sc where r = 1)"""
+  when regexp_matches(claim, '{NEGATIVE_SQL}') <> regexp_matches(text, '{NEGATIVE_SQL}') then 'conflict' else 'supported' end as label from sc where r = 1)"""
 
 
 def _verdicts(spark, d, pool):
@@ -208,26 +196,24 @@ def _verdicts(spark, d, pool):
 
 
 @query(RULE_SQL + " select qid, claim_no, pos, overlap, label from v")
-def rule_verdicts(spark, d, pool=first_contexts):
+def rule_verdicts(spark, d, pool=contexts):
     return _verdicts(spark, d, pool).select(F.col("claim_id.qid").alias("qid"), F.col("claim_id.claim_no").alias("claim_no"), "pos", F.col("overlap").cast("long").alias("overlap"), "label")
 
 
 @query(RULE_SQL + " select qid, count(*) claims, cast(count(*) filter (where label = 'supported') as bigint) supported, count(*) filter (where label = 'supported')::double / count(*) faithfulness, bool_or(label <> 'supported') hallucinated from v group by qid")
-def response_metrics(spark, d, pool=first_contexts):
+def response_metrics(spark, d, pool=contexts):
     rows = rule_verdicts(spark, d, pool)
     good = F.count_if(F.col("label") == "supported")
     return rows.groupBy("qid").agg(F.count("*").alias("claims"), good.alias("supported"), spans.ratio(good, F.count("*")).alias("faithfulness"), F.max(F.col("label") != "supported").alias("hallucinated"))
 
 
-@query("select doc_id, sha256(concat_ws(':', '7', cast(doc_id as varchar))) key from documents order by 2, 1 limit 100")
+@query("select doc_id, cast(row_number() over (order by ('0x' || substr(sha256('7:' || doc_id), 1, 13))::bigint, doc_id) as integer) drawn from documents qualify drawn <= 100")
 def seeded_sample_topn(spark, d):
-    # The number drawn orders as the hash's first 13 digits do; the whole hash settles ties alike.
-    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws(":", F.lit("7"), F.col("doc_id").cast("string")), 256).alias("key"))
-    return docs.orderBy("key", "doc_id").limit(100)
+    return ranking.exact_sample(table(spark, d, "documents"), "doc_id", 100, 7).select("doc_id", "drawn")
 
 
 @query(f"with {RESPONSES_SQL.strip()}, {CONTEXTS_SQL.strip()}, p as (select conv_id, string_agg('[Evidence ' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) order by pos) document from contexts group by conv_id) select qid, sha256(document) document_sha256, cast(length(document) as bigint) document_chars from responses join p using (conv_id)")
-def document_build(spark, d, pool=first_contexts):
+def document_build(spark, d, pool=contexts):
     rows = pool(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("doc_id").cast("string").alias("id"), "text"))).alias("cs"))  # as many as fall on a conversation
     built = rows.select("conv_id", evidence_document(F.col("cs")).alias("doc"))
     return responses(spark, d).join(built, "conv_id").select("qid", F.sha2("doc", 256).alias("document_sha256"), F.char_length("doc").cast("long").alias("document_chars"))
@@ -244,12 +230,11 @@ def answer_token_f1(spark, d):
     return rows.select("qid").join(both, "qid", "left").select("qid", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"), spans.ratio(2.0 * F.coalesce("shared", F.lit(0)), F.coalesce("total", F.lit(0))).alias("token_f1"))
 
 
-@query("""select doc_id, case when regexp_matches(text, '(?i)^(?:\\(?passage\\s*|[123]\\)?)$') or regexp_matches(text, '(?i)^(?:sure[.!]?\\s*$|sure,?\\s+i can help you with that[.!]?\\s*$|i hope\\b|let me know\\b|unable to answer based on|here (?:are|is) (?:the|my) (?:steps|answer)\\b)') or ends_with(text, ':') then 'exclude_nonclaim'
- when regexp_matches(regexp_replace(text, '(?i)^based on the (?:given|provided) passages,?\\s*', ''), '(?i)\\b(?:passage\\s*[123]|(?:the|these|this|provided|given|supplied)\\s+passages?|none\\s+of\\s+the\\s+passages|the\\s+source\\s+(?:text|passages?))\\b') then 'exclude_source_relative' else 'include' end as action,
- regexp_matches(text, '(?i)^(?:this|these|they|it|therefore|however)\\b') missing_referent from documents""".replace("\\\\", "\\"))
+@query(f"""with stripped as (select doc_id, {STRIP_SQL.format(t="text")} text from documents) select doc_id, case when regexp_matches(text, '{audit.NONCLAIM}') or regexp_matches(text, '{audit.BOILERPLATE}') or ends_with(text, ':') then 'exclude_nonclaim'
+ when regexp_matches(regexp_replace(text, '{audit.PREFACE}', ''), '{audit.SOURCE_RELATIVE}') then 'exclude_source_relative' else 'include' end as action, regexp_matches(text, '{audit.MISSING_REFERENT}') missing_referent from stripped""")
 def audit_decisions(spark, d):
     action, _ = audit.proposal(F.col("text"), F.array().cast("array<string>"))
-    return table(spark, d, "documents").select("doc_id", action.alias("action"), F.col("text").rlike(audit.MISSING_REFERENT).alias("missing_referent"))
+    return table(spark, d, "documents").select("doc_id", action.alias("action"), strip(F.col("text")).rlike(audit.MISSING_REFERENT).alias("missing_referent"))
 
 
 @query("""with p as (select doc_id, case when quality = 1 then 'supported' else 'unsupported' end gold from labels), dec as (select doc_id, case when doc_id % 5 = 0 then 'exclude' else 'include' end as action, gold from p), ov as (select doc_id, case when doc_id % 2 = 0 then 'include' else 'exclude' end as action, 'conflict' gold from p where doc_id % 10 in (0, 1))
@@ -266,62 +251,13 @@ def chunk_pack(spark, d):
     return chunked(table(spark, d, "documents"), "doc_id", "text").drop("text")
 
 
-@query(r"""with s as (select doc_id, trim(unnest(regexp_split_to_array(text, '\n+'))) line from documents), n as (select doc_id, count(*) lines, sum(case when regexp_matches(line, 'no|不|无|未|尚|仅|禁止|否|never|unable') then 1 else 0 end) negative_lines from s where line <> '' group by doc_id) select doc_id, lines, cast(negative_lines as bigint) negative_lines from n""")
+@query(f"""with s as (select doc_id, trim(unnest(regexp_split_to_array(text, '\\n+'))) line from documents), n as (select doc_id, count(*) lines, sum(case when regexp_matches(line, '{NEGATIVE_SQL}') then 1 else 0 end) negative_lines from s where line <> '' group by doc_id) select doc_id, lines, cast(negative_lines as bigint) negative_lines from n""")
 def negation_by_line(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n+")).alias("line")).where("trim(line) <> ''")
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(has_negative(F.col("line"))).alias("negative_lines"))
 
 
-@query("with e as (select vec_id, embedding, vec_id % 50 q from embeddings), s as (select a.vec_id qv, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) score from e a join e b on a.q = b.q and a.vec_id <> b.vec_id where a.vec_id < 50) select qv, vec_id, score, cast(row_number() over (partition by qv order by score desc, vec_id) as integer) rank from s qualify row_number() over (partition by qv order by score desc, vec_id) <= 5")
+@query("with s as (select a.vec_id qv, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) score from embeddings a join embeddings b on a.vec_id <> b.vec_id) select qv, vec_id, score, cast(row_number() over (partition by qv order by score desc, vec_id) as integer) rank from s qualify rank <= 5")
 def dense_rank_topk(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("vec_id") % 50).alias("g"))
-    q = e.where("vec_id < 50").select(F.col("vec_id").alias("qv"), F.col("v").alias("qvec"), "g")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(e, "g").where("qv <> vec_id").withColumn("score", F.round(dot(F.col("qvec"), F.col("v")) / F.sqrt(dot(F.col("qvec"), F.col("qvec")) * dot(F.col("v"), F.col("v"))), 4))
-    return pairs.select("qv", "vec_id", "score", F.row_number().over(Window.partitionBy("qv").orderBy(F.desc("score"), "vec_id")).alias("rank")).where("rank <= 5")
-
-
-@query()
-def dense_rank_topk_all(spark, d):
-    """Every vector's five nearest of the whole table; ``dense_rank_topk`` is the narrow form that its SQL fixes."""
+    """Every vector's five nearest of the whole table."""
     return ranking.dense_topk(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
-
-
-def _whole(name: str) -> str:
-    """The SQL of a query without its cut to the first three contexts."""
-    return ORACLES[name].replace(" x where pos <= 3)", " x)")
-
-
-@query(_whole("bm25_retrieval"))
-def bm25_retrieval_all(spark, d):
-    return bm25_retrieval(spark, d, contexts)
-
-
-@query(_whole("bm25_selection"))
-def bm25_selection_all(spark, d):
-    return bm25_selection(spark, d, contexts)
-
-
-@query(_whole("topk_source_order"))
-def topk_source_order_all(spark, d):
-    return topk_source_order(spark, d, contexts)
-
-
-@query(_whole("evidence_filter_topk"))
-def evidence_filter_topk_all(spark, d):
-    return evidence_filter_topk(spark, d, contexts)
-
-
-@query(_whole("rule_verdicts"))
-def rule_verdicts_all(spark, d):
-    return rule_verdicts(spark, d, contexts)
-
-
-@query(_whole("response_metrics"))
-def response_metrics_all(spark, d):
-    return response_metrics(spark, d, contexts)
-
-
-@query(_whole("document_build"))
-def document_build_all(spark, d):
-    return document_build(spark, d, contexts)

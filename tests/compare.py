@@ -39,5 +39,6 @@ def differ(df, sql: str, sf_dir: str) -> str:
     have = rows_of(df.columns, df.collect())
     if have == want:
         return ""
-    a, b = [x for x in have if x not in set(want)][:3], [x for x in want if x not in set(have)][:3]
+    wanted, had = set(want), set(have)
+    a, b = [x for x in have if x not in wanted][:3], [x for x in want if x not in had][:3]
     return f"{len(have)} and {len(want)} rows; only Spark {a}; only SQL {b}"

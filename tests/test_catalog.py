@@ -13,11 +13,6 @@ def test_equals_sql(spark, name):
     assert not differ(catalog.queries()[name](spark, SF), catalog.oracle_sql()[name], SF)
 
 
-def test_budget_is_kept(spark):
-    rows = catalog.queries()["budget_select"](spark, SF).collect()
-    assert rows and all(r.used <= 512 for r in rows)
-
-
 def test_chunks_stay_within_the_limit(spark):
     rows = catalog.queries()["chunk_pack"](spark, SF).collect()
     assert rows and all(r.token_count <= 128 and r.start < r.end for r in rows)
