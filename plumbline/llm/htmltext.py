@@ -4,14 +4,17 @@ A page is stripped of markup and of what its own structure marks as not being
 the article; every block-level boundary ends a line.  Over sliding windows of
 lines the text lengths are summed.  The text surges where a window passes the
 threshold and dives where the windows have fallen to nothing; the surge with
-most text is the body.  Its ends are then moved out to those of the article or
-main that holds it, or else of the element, so that other surges of the same
-article and short paragraphs at either end stay whole.
+most text, from its first long line to its last, is the body.  Elements can only
+widen it: to the article or main that holds it, or to the element in which its
+long lines themselves stand, so that other surges of the same article and short
+paragraphs at either end stay whole.  Where its long lines stand in several
+elements, headings before it and paragraphs after it are all that joins it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -22,6 +25,8 @@ from plumbline.llm.runtime import per_text
 #: Lines in a window, and the characters with which a window is a surge.
 WINDOW = 3
 SURGE_CHARS = 80
+#: Characters of a long line, which is a surge by itself.
+LONG_LINE = SURGE_CHARS
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -49,6 +54,7 @@ NAMED = re.compile(rf"(?:^|[\s_-])(?:{WORDS})(?=$|[\s_-])", re.I)
 MARK = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 NO, MODIFIED, YES = range(3)
 
 
@@ -76,10 +82,11 @@ def _mark(name: str, attrs: str, inside_article: bool) -> int:
 
 
 Path = tuple[tuple[int, str], ...]
+Line = tuple[str, Path, str]
 
 
-def lines_of(html: str) -> list[tuple[str, Path]]:
-    """(text, holders around it) of each block outside marked elements; holders are numbered in page order.
+def lines_of(html: str) -> list[Line]:
+    """(text, holders around it, innermost element) of each block outside marked elements; holders are numbered in page order.
 
     An element marked by a modifier stays if no article or main is outside it
     and it holds one, or most of the text.
@@ -89,32 +96,36 @@ def lines_of(html: str) -> list[tuple[str, Path]]:
     return _lines(html, gone)[0] if gone else lines
 
 
-def _lines(html: str, gone: frozenset[int]) -> tuple[list[tuple[str, Path]], dict[int, list[int]], int, int]:
+def _lines(html: str, gone: frozenset[int]) -> tuple[list[Line], dict[int, list[int]], int, int]:
     """The lines without the modified elements that start at ``gone``; (articles, characters) in each other one, and of the page."""
-    lines: list[tuple[str, Path]] = []
+    lines: list[Line] = []
     modified: dict[int, list[int]] = {}
     within: list[tuple[int, int]] = []  # open modified elements: depth in the stack, start
     started = chars = 0
     stack: list[tuple[str, bool]] = []  # block elements: name, marked
+    open_: Counter[str] = Counter()  # how many of each name are in the stack
     path: list[tuple[int, str]] = []  # the open holders
+    here: Path | None = ()  # ``path`` as lines keep it, or None when that has changed
     holders: list[int] = []  # depths in the stack of the open holders
     text: list[str] = []
     skipped = articles = number = at = 0
 
     def end_line():
-        nonlocal chars
+        nonlocal chars, here
         if text:
             line = " ".join(unescape("".join(text)).split())
             text.clear()
             if line:
-                lines.append((line, tuple(path)))
+                here = tuple(path) if here is None else here
+                lines.append((line, here, stack[-1][0] if stack else ""))
                 chars += len(line)
                 for _, start in within:
                     modified[start][1] += len(line)
 
     def pop():
-        nonlocal skipped, articles
+        nonlocal skipped, articles, here
         name, marked = stack.pop()
+        open_[name] -= 1
         skipped -= marked
         articles -= name in ("article", "main")
         if within and within[-1][0] == len(stack):
@@ -122,6 +133,7 @@ def _lines(html: str, gone: frozenset[int]) -> tuple[list[tuple[str, Path]], dic
         if holders and holders[-1] == len(stack):
             holders.pop()
             path.pop()
+            here = None
 
     for m in TOKEN.finditer(html):
         if not skipped and m.start() > at:
@@ -134,10 +146,10 @@ def _lines(html: str, gone: frozenset[int]) -> tuple[list[tuple[str, Path]], dic
         if name in INLINE and not m["attrs"]:
             continue
         if m["close"]:
-            if name in INLINE and not any(n == name for n, _ in stack):
+            if name in INLINE and not open_[name]:
                 continue
             end_line()
-            if any(n == name for n, _ in stack):
+            if open_[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -154,11 +166,13 @@ def _lines(html: str, gone: frozenset[int]) -> tuple[list[tuple[str, Path]], dic
         if name in HOLDERS and not marked:
             number += 1
             path.append((number, name))
+            here = None
             holders.append(len(stack))
         if mark == MODIFIED and not marked and not skipped:
             within.append((len(stack), m.start()))
             modified[m.start()] = [0, 0]
         stack.append((name, marked))
+        open_[name] += 1
         skipped += marked
         if name in ("article", "main"):
             articles += 1
@@ -191,39 +205,54 @@ def surges(sizes: list[int], window: int = WINDOW, least: int = SURGE_CHARS) ->
     return sorted(runs, key=lambda r: -sum(sizes[slice(*r)]))
 
 
-def _holding(body: list[tuple[str, Path]], kind: str) -> Path:
+def _holding(body: list[Line], kind: str) -> Path:
     """The path to the outermost element of ``kind`` with over half of the text, if lines are in no second one; else empty."""
     sizes: dict[Path, int] = {}
-    for text, path in body:
+    for text, path, _ in body:
         at = next((i for i, (_, name) in enumerate(path, 1) if name == kind), 0)
         sizes[path[:at]] = sizes.get(path[:at], 0) + len(text)
     out = sizes.pop((), 0)
     return next((p for p, n in sizes.items() if n > out), ()) if len(sizes) == 1 else ()
 
 
+def _common(paths: list[Path]) -> Path:
+    low, high = min(paths), max(paths)
+    n = 0
+    while n < min(len(low), len(high)) and low[n] == high[n]:
+        n += 1
+    return low[:n]
+
+
 def main_text(data: bytes | None) -> str:
     """The main text of a page; empty if it has none."""
     lines = lines_of(data.decode()) if data else []
     if not lines:
         return ""
-    (start, end), *others = surges([len(t) for t, _ in lines])
-    body = lines[start:end]
-    common = body[0][1]
-    for _, path in body:
-        n = 0
-        while n < min(len(common), len(path)) and common[n] == path[n]:
-            n += 1
-        common = common[:n]
-    names = [name for _, name in common]
+    (start, end), *others = surges([len(t) for t, _, _ in lines])
+    long = [i for i in range(start, end) if len(lines[i][0]) >= LONG_LINE] or range(start, end)
+    start, end = long[0], long[-1] + 1
+    body = [lines[i] for i in long]
+    common = _common([path for _, path, _ in body])
     whole = _holding(body, "article") or _holding(body, "main")
     if whole:
-        common = whole
-    elif names[-1:] == ["section"] and names[-2:-1] not in ([], ["body"], ["html"]):
+        return _joined(lines, whole)
+    names = [name for _, name in common]
+    if names[-1:] == ["section"] and names[-2:-1] not in ([], ["body"], ["html"]):
         # Sections of one element are one text where another of them surges too.
-        if any(path[: len(common) - 1] == common[:-1] for a, b in others for _, path in lines[a:b]):
-            common = common[:-1]
-    kept = [t for t, path in lines if path[: len(common)] == common]
-    return " ".join(kept)
+        if any(path[: len(common) - 1] == common[:-1] for a, b in others for _, path, _ in lines[a:b]):
+            return _joined(lines, common[:-1])
+    inside = sum(len(t) for t, path, _ in body if path == common)
+    if names[-1:] not in ([], ["body"], ["html"]) and 2 * inside > sum(len(t) for t, _, _ in body):
+        return _joined(lines, common)
+    while start and lines[start - 1][2] in HEADINGS:
+        start -= 1
+    while end < len(lines) and lines[end][2] == "p" and lines[end][1][: len(common)] == common:
+        end += 1
+    return _joined(lines[start:end], ())
+
+
+def _joined(lines: list[Line], inside: Path) -> str:
+    return " ".join(t for t, path, _ in lines if path[: len(inside)] == inside)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plumbline.llm.decontam import WINDOW
 from plumbline.llm.hostrules import BASE, MAX_HOST_RATE, REPEAT_WINDOW, RULES, SURE
 from plumbline.llm.warc import MIN_REVISIT_BYTES
 
@@ -45,3 +46,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {" O
   NOT ({" OR ".join(RULES[x] for x in BASE)}) AND NOT is_bad AS kept
 FROM m JOIN bad ON m.host IS NOT DISTINCT FROM bad.host
 """
+
+WORDS6 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS6} AS ws FROM documents),
+it AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS name, {WORDS6} AS ws FROM benchmark),
+sized AS (SELECT name, ws, least({WINDOW}, len(ws)) AS n FROM it WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT name, n, unnest([array_to_string(ws[x : x + n - 1], ' ') FOR x IN range(1, len(ws) - n + 2)]) AS win FROM sized),
+sizes AS (SELECT DISTINCT n FROM sized),
+dw AS (SELECT r, n, unnest(range(1, len(ws) - n + 2)) AS i, unnest([array_to_string(ws[x : x + n - 1], ' ') FOR x IN range(1, len(ws) - n + 2)]) AS win FROM d, sizes WHERE len(ws) >= n),
+found AS (SELECT r, i, n, name FROM dw JOIN iw USING (n, win)),
+hits AS (SELECT DISTINCT r, i, i + n AS e FROM found),
+fresh AS (SELECT r, greatest(0, e - greatest(i, coalesce(max(e) OVER (PARTITION BY r ORDER BY i, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), i))) AS c FROM hits),
+covered AS (SELECT r, CAST(sum(c) AS BIGINT) AS n_hit FROM fresh GROUP BY r),
+named AS (SELECT r, list_sort(list(DISTINCT name)) AS names FROM found GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(names), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered ON d.r = covered.r LEFT JOIN named ON d.r = named.r
+"""

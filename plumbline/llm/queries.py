@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_archive": oracles.OP4, "op5_host_quality": oracles.OP5}
+    return {"op4_warc_archive": oracles.OP4, "op5_host_quality": oracles.OP5, "op6_decontamination": oracles.OP6}
