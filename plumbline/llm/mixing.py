@@ -1,8 +1,9 @@
 """Mixing sources by temperature.
 
-A source with a share p of all tokens gets a weight in proportion to p ** a.  The
-exponent a is bisected to the largest flattening within a limit on how often a
-document repeats, or to a target entropy of the weights.  The weights become
+Texts are encoded to count their tokens.  A source with a share p of all tokens
+gets a weight in proportion to p ** a.  The exponent a is bisected to the
+largest flattening within a limit on how often a document repeats, or to a
+target entropy of the weights.  The weights become
 copies: a source's documents lie in blocks, the blocks in a random but fixed
 order; every document gets the whole number of copies that all get, and the
 documents of the first blocks, as many as the budget has tokens for, get one
@@ -15,10 +16,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.runtime import written
+from plumbline.llm.runtime import per_slice, written
+from plumbline.llm.tokenout import encoder, shared_ranks
 
 #: Blocks of each source.
 BLOCKS = 1 << 12
@@ -26,9 +31,27 @@ SEED = 8
 BISECTIONS = 40
 
 
-def token_estimate(text_col: str):
-    """Tokens of a text, estimated as a quarter of its UTF-8 bytes, rounded up; 0 for a null."""
-    return F.coalesce(F.ceil(F.octet_length(F.col(text_col)) / 4).cast("long"), F.lit(0).cast("long"))
+def token_rows(docs: DataFrame, tokenizer_path: str, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``id_col``, ``source_col`` and ``n_tokens`` of every row, its whole text encoded by a tokenizer file.
+
+    A null or empty text has no tokens; nulls in the other columns and rows that
+    repeat stay.  The rows are written: texts are encoded once, however often
+    the counts are read.
+    """
+    ranks = shared_ranks(docs.sparkSession, tokenizer_path)
+
+    def kernel(texts: pa.Array):
+        _, ends = encoder(tokenizer_path, ranks.value)(pc.fill_null(texts, "").to_pylist())
+        return (np.diff(ends, prepend=0),)
+
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source")).alias("key"), F.col(text_col).alias("text"))
+    counted = per_slice(rows, "key", "text", kernel, "n_tokens long")
+    return written(counted.select(F.col("key.id").alias(id_col), F.col("key.source").alias(source_col), "n_tokens"), "token-rows")
+
+
+def _tokens(col: str) -> Column:
+    """A null count is none."""
+    return F.coalesce(F.col(col).cast("long"), F.lit(0).cast("long"))
 
 
 def _source(col: str):
@@ -65,14 +88,14 @@ def bisect_exponent(sources: DataFrame, max_repetition: float | None = None, ent
     return high
 
 
-def plan(docs: DataFrame, max_repetition: float | None = 1.25, entropy: float | None = None, budget_tokens: int | None = None, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def plan(counts: DataFrame, max_repetition: float | None = 1.25, entropy: float | None = None, budget_tokens: int | None = None, source_col: str = "source", tokens_col: str = "n_tokens", id_col: str = "doc_id") -> DataFrame:
     """One row for each source: ``weight``, ``budget`` in tokens, whole ``copies`` and where the extra copies end.
 
-    Without ``budget_tokens`` the budget is the least at which no document is
+    ``counts`` has one row for each document, as from ``token_rows``.  Without ``budget_tokens`` the budget is the least at which no document is
     left out: the source with the highest share against its weight is taken once.
     """
     block, rank = _places(id_col)
-    rows = docs.select(_source(source_col).alias("__src"), token_estimate(text_col).alias("tokens"), block.alias("block"), rank.alias("rank"))
+    rows = counts.select(_source(source_col).alias("__src"), _tokens(tokens_col).alias("tokens"), block.alias("block"), rank.alias("rank"))
     blocks = written(rows.groupBy("__src", "block").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "blocks")
     sources = blocks.groupBy("__src").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
     exponent = bisect_exponent(sources, max_repetition, entropy)
@@ -104,23 +127,25 @@ def _order(block: str):
     return F.xxhash64(F.col("__src"), F.col(block), F.lit(SEED + 2))
 
 
-def mix(docs: DataFrame, max_repetition: float | None = 1.25, entropy: float | None = None, budget_tokens: int | None = None, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", told: bool = True) -> DataFrame:
-    """``docs`` with each row as often as its source's weight and its place say, and ``copy`` (from 1), ``block``, ``n_tokens`` if ``told``.
+def mix(docs: DataFrame, counts: DataFrame | None = None, max_repetition: float | None = 1.25, entropy: float | None = None, budget_tokens: int | None = None, source_col: str = "source", tokens_col: str = "n_tokens", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with each row as often as its source's weight and its place say.
 
-    A null source is one of its own.  A source without tokens is taken once.
-    Rows that share an id share a place, so they are taken equally often; a
-    budget that ends among them leaves them all at the lower number.  An empty
-    table gives none.  All columns of ``docs`` are kept, but where the three are
-    told they take the place of columns of their names.
+    ``counts`` (``token_rows`` of ``docs``) has the tokens, and rows keep just
+    their columns.  Without it ``docs`` has them itself in ``tokens_col``, and
+    rows also get ``copy`` (from 1) and ``block``, in place of columns of these
+    names.  A null source is one of its own.  A source without tokens is taken
+    once.  Rows that share an id share a place, so they are taken equally often;
+    a budget that ends among them leaves them all at the lower number.  An empty
+    table gives none.
     """
-    sources = written(plan(docs, max_repetition, entropy, budget_tokens, source_col, text_col, id_col), "mixing-plan")
+    sources = written(plan(docs if counts is None else counts, max_repetition, entropy, budget_tokens, source_col, tokens_col, id_col), "mixing-plan")
     block, rank = _places(id_col)
-    rows = docs.select(F.struct("*").alias("doc"), _source(source_col).alias("__src"), block.alias("place"), rank.alias("rank"), token_estimate(text_col).alias("n_tokens"))
+    rows = docs.select(F.struct("*").alias("doc"), _source(source_col).alias("__src"), block.alias("place"), rank.alias("rank"))
     ends = sources.select("__src", "copies", "last_block", F.coalesce("last_rank", F.lit(-(1 << 63))).alias("most"), F.col("last_rank").isNotNull().alias("cuts"), _order("last_block").alias("last_order"))
     extra = F.col("last_block").isNotNull() & ((_order("place") < F.col("last_order")) | ((F.col("place") == F.col("last_block")) & (F.col("rank") <= F.col("most")) & F.col("cuts")))
     rows = rows.join(ends, "__src").withColumn("n", F.col("copies") + extra.cast("int")).where("n > 0")
-    rows = rows.select("doc", "place", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    if not told:
+    rows = rows.select("doc", "place", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    if counts is not None:
         return rows.select("doc.*")
-    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c not in ("copy", "block", "n_tokens")]
-    return rows.select(*kept, "copy", F.col("place").alias("block"), "n_tokens")
+    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c not in ("copy", "block")]
+    return rows.select(*kept, "copy", F.col("place").alias("block"))

@@ -54,7 +54,8 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), max_repetition=1.25).select("doc_id", "source", "copy", "block", F.col("n_tokens").alias("n_tokens"))
+    counts = mixing.token_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return mixing.mix(counts, max_repetition=1.25).select("doc_id", "source", "copy", "block", "n_tokens")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,11 @@ def encoder(path: str, ranks: dict[bytes, int] | None):
     return _ENCODERS[path]
 
 
+def shared_ranks(spark: SparkSession, path: str):
+    """The broadcast ``rank_table`` of a tokenizer file (its size is bounded by the vocabulary's); of None where it has none."""
+    return spark.sparkContext.broadcast(rank_table(path) if path.endswith(".json") else None)
+
+
 SCHEMA = "key {id_type}, part int, pos long, offset long, n_tokens int, ids array<int>"
 
 
@@ -147,7 +152,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
     follow each other in the order of their texts, null first.  An empty table
     writes an empty table.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(rank_table(tokenizer_path) if tokenizer_path.endswith(".json") else None)
+    ranks = shared_ranks(docs.sparkSession, tokenizer_path)
     source = keyed_text(docs, id_col, text_col).repartitionByRange("key").sortWithinPartitions("key", "text")
     schema = SCHEMA.format(id_type=docs.schema[id_col].dataType.simpleString())
     rows = source.mapInArrow(_encode(tokenizer_path, ranks, end_id), schema).withColumnRenamed("key", id_col)

@@ -202,19 +202,27 @@ def test_leaks(spark, docs, rows, monkeypatch):
 
 
 def test_mixing(spark, docs):
-    got = mixing.mix(docs, max_repetition=1.25)
+    counts = mixing.token_rows(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    tok = tokencount.load_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [(r.doc_id, r.source, len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect()]
+    assert sorted(map(tuple, counts.collect()), key=str) == sorted(want, key=str)
+    got = mixing.mix(counts, max_repetition=1.25)
     per = got.groupBy("doc_id").agg(F.count("*").alias("n"))
     assert per.count() == docs.select("doc_id").distinct().count()
-    sources = mixing.plan(docs, max_repetition=1.25).collect()
+    sources = mixing.plan(counts, max_repetition=1.25).collect()
     totals = {r["__src"]: (r.tokens, r.budget) for r in sources}
     assert all(1 - 1e-6 <= b / t <= 1.25 + 1e-6 for t, b in totals.values() if t)
     used = {r[0]: r[1] for r in got.groupBy("source").agg(F.sum("n_tokens")).collect()}
-    biggest = 200_000 / 4
+    biggest = max(n for _, _, n in want)
     assert all(0 <= totals[f"={s}"][1] - n <= biggest for s, n in used.items() if s)
-    assert sorted(map(tuple, got.select("doc_id", "copy").collect()), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7), max_repetition=1.25).select("doc_id", "copy").collect()), key=str)
-    half = mixing.mix(docs, entropy=2.0, max_repetition=None, budget_tokens=50_000)
+    whole = mixing.mix(docs, counts, max_repetition=1.25)
+    assert whole.columns == docs.columns
+    for other in (whole, mixing.mix(counts.repartition(7), max_repetition=1.25)):
+        assert sorted((r.doc_id for r in got.collect()), key=str) == sorted((r.doc_id for r in other.collect()), key=str)
+    half = mixing.mix(counts, entropy=2.0, max_repetition=None, budget_tokens=50_000)
     assert abs(half.agg(F.sum("n_tokens")).first()[0] - 50_000) < 25_000
-    assert mixing.mix(empty(docs)).count() == 0
+    none = mixing.token_rows(empty(docs), public_tokenizers.path("byte_bpe_50k.json"))
+    assert none.count() == mixing.mix(none).count() == mixing.mix(empty(docs), none).count() == 0
 
 
 def test_main_text():

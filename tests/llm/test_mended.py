@@ -149,9 +149,9 @@ def test_null_ids_train_and_predict(spark):
 
 def test_mixing_against_brute_force(spark):
     rng = random.Random(3)
-    rows = [(i, rng.choices(["a", "b", "c", None], [50, 20, 5, 1])[0], "x" * rng.randint(0, 400)) for i in range(3000)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    tokens = {i: -(-len(t) // 4) for i, _, t in rows}
+    rows = [(i, rng.choices(["a", "b", "c", None], [50, 20, 5, 1])[0], rng.randint(0, 100)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    tokens = {i: n for i, _, n in rows}
     total = Counter()
     for i, s, _ in rows:
         total[s] += tokens[i]
