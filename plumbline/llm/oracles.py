@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.llm.decontam import WINDOW
 from plumbline.llm.hostrules import BASE, MAX_HOST_RATE, REPEAT_WINDOW, RULES, SURE
+from plumbline.llm.merkle import COLUMNS
 from plumbline.llm.warc import MIN_REVISIT_BYTES
 
 OP4 = f"""
@@ -64,3 +65,33 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered ON d.r = covered.r LEFT JOIN named ON d.r = named.r
 """
+
+_CRC32 = "list_reduce(list_concat([4294967295::BIGINT], [CAST(unicode(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END))"
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(n_chars if c == "n_chars" else c) for c in COLUMNS) + ")"
+
+
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT lang AS g, doc_id, {_leaf("n_chars")} AS leaf, {_leaf(f"CASE WHEN xor({_CRC32}, 4294967295) % 7 = 0 THEN n_chars + 1 ELSE n_chars END")} AS changed FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+lv(g, k, pos, node) AS (SELECT g, 0, pos, leaf FROM p UNION ALL
+  SELECT g, k + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM lv) x WHERE c > 1 GROUP BY g, k, pos // 2),
+tops AS (SELECT g, max(k) AS height FROM lv GROUP BY g),
+s AS (SELECT lv.g, node AS subroot, row_number() OVER (ORDER BY lv.g NULLS FIRST) - 1 AS pos, height FROM lv JOIN tops ON lv.g IS NOT DISTINCT FROM tops.g AND k = height),
+tl(k, pos, node) AS (SELECT 0, pos, subroot FROM s UNION ALL
+  SELECT k + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS c FROM tl) x WHERE c > 1 GROUP BY k, pos // 2),
+root AS (SELECT k AS height, node AS root FROM tl ORDER BY k DESC LIMIT 1),
+steps AS (SELECT p.g, p.pos, r.k, (p.pos >> r.k) & 1 AS side, coalesce(lv.node, '') AS other FROM (SELECT p.g, p.pos, unnest(range(0, height)) AS k FROM p JOIN tops ON p.g IS NOT DISTINCT FROM tops.g) r
+    JOIN p ON p.g IS NOT DISTINCT FROM r.g AND p.pos = r.pos LEFT JOIN lv ON lv.g IS NOT DISTINCT FROM r.g AND lv.k = r.k AND lv.pos = xor(r.pos >> r.k, 1)
+  UNION ALL SELECT p.g, p.pos, s.height + r.k, (s.pos >> r.k) & 1, coalesce(tl.node, '') FROM (SELECT s.pos, unnest(range(0, (SELECT height FROM root))) AS k FROM s) r
+    JOIN s ON s.pos = r.pos JOIN p ON p.g IS NOT DISTINCT FROM s.g LEFT JOIN tl ON tl.k = r.k AND tl.pos = xor(s.pos >> r.k, 1)),
+paths AS (SELECT g, pos, list(side ORDER BY k) AS sides, list(other ORDER BY k) AS others FROM steps GROUP BY g, pos),
+folds(g, pos, k, node) AS (SELECT g, pos, 0, changed FROM p UNION ALL
+  SELECT f.g, f.pos, f.k + 1, CASE WHEN q.sides[f.k + 1] = 1 THEN sha256(q.others[f.k + 1] || node) ELSE sha256(node || q.others[f.k + 1]) END FROM folds f JOIN paths q ON q.g IS NOT DISTINCT FROM f.g AND q.pos = f.pos WHERE f.k < len(q.sides)),
+ends AS (SELECT g, pos, arg_max(node, k) AS folded_root FROM folds GROUP BY g, pos)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(others, ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN s ON p.g IS NOT DISTINCT FROM s.g CROSS JOIN root LEFT JOIN paths ON p.g IS NOT DISTINCT FROM paths.g AND p.pos = paths.pos JOIN ends ON p.g IS NOT DISTINCT FROM ends.g AND p.pos = ends.pos
+"""

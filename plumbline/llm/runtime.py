@@ -1,10 +1,8 @@
-"""Shared-folder and Arrow helpers of the corpus operators."""
+"""Arrow helpers of the corpus operators."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,41 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a local session (tests) gets a temporary folder; on a
-    cluster that would not be shared, so there it is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, deleted when the session's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(where)
-    fs.deleteOnExit(where)
-    return path + "/t"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again.
-
-    The copy cuts the lineage: it outlives the executors that wrote it.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from plumbline.sources.scratch import scratch, shared_dir, written  # noqa: F401  the operators take them from here
 
 
 def bounded_batches(spark: SparkSession) -> None:
