@@ -31,8 +31,8 @@ from plumbline.operators.places import null_safe
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Rows and bytes of components that a kernel handles at once.
-GATHER_ROWS, GATHER_BYTES = 16384, 16 << 20
-FIRST_RING = 8
+GATHER_ROWS, GATHER_BYTES = 32768, 16 << 20
+FIRST_RING = 16
 LIMB = 62
 
 
@@ -65,6 +65,7 @@ class Search:
         number = np.arange(len(entries))
         self.near = [np.array(sorted(number, key=lambda j: (row[j], j))) for row in d]
         self.apart = [row[order] for row, order in zip(d, self.near)]
+        self.held: dict[tuple[int, int, bool], tuple] = {}
         self.scanned = 0
 
     def own(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -73,29 +74,46 @@ class Search:
             x = x.astype(object)
         return compact(((x - self.entries[at]) ** 2).sum(1))
 
+    def rings(self, a: int, exact: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the entries around ``a`` in rings: the place of the first, their numbers ascending, and for products in doubles their components and squared norms."""
+        low, high = 0, FIRST_RING
+        while low < len(self.entries):
+            if (a, low, exact) not in self.held:
+                ring = np.sort(self.near[a][low:high])
+                c = self.entries[ring]
+                self.held[a, low, exact] = (ring, c.T.astype(np.float64), (c * c).sum(1).astype(np.float64)) if exact else (ring, None, None)
+            yield low, *self.held[a, low, exact]
+            low, high = high, 2 * high
+
     def __call__(self, x: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         u = self.own(x, before)
-        kind = object if u.dtype == object or largest(u) >= 1 << 60 else np.int64
-        u = u.astype(kind)
-        at, best = before.copy(), u.copy()
+        exact = 16 * max(1, x.shape[1]) * largest(x, self.entries) ** 2 < 1 << 53  # also of the bounds below
+        kind = np.float64 if exact else object if u.dtype == object or largest(u) >= 1 << 60 else np.int64
         order = np.argsort(before, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(before[order])) + 1):
-            if not len(rows):
-                continue
-            near, apart = self.near[before[rows[0]]], self.apart[before[rows[0]]].astype(kind)
-            low, high = 0, FIRST_RING
-            rows = rows[np.searchsorted(apart, 4 * u[rows], "right") > low]
-            while len(rows):
-                ring = np.sort(near[low:high])
-                d = distances(x[rows], self.entries[ring]).astype(kind)
+        x, at, u = x[order], before[order], u[order].astype(kind)
+        if exact:
+            x = x.astype(np.float64)
+            norms = (x * x).sum(1)[:, None]
+        best = u.copy()
+        starts = np.flatnonzero(np.diff(at, prepend=-1)).tolist()
+        for start, end in zip(starts, [*starts[1:], len(at)]):
+            a, rows = int(at[start]), slice(start, end)
+            apart = self.apart[a].astype(kind)
+            for low, ring, c, squares in self.rings(a, exact):
+                if low:
+                    bound = 2 * (u[start:end] + best[start:end])
+                    rows = start + np.flatnonzero(np.searchsorted(apart, bound, "right") > low)
+                    if not len(rows):
+                        break
+                d = norms[rows] - 2 * (x[rows] @ c) + squares if exact else distances(x[rows], self.entries[ring]).astype(kind)
                 self.scanned += d.size
                 first = d.argmin(1)
-                d, j = d[np.arange(len(rows)), first], ring[first]
+                d, j = d[np.arange(len(d)), first], ring[first]
                 better = (d < best[rows]) | (d == best[rows]) & (j < at[rows])
-                best[rows[better]], at[rows[better]] = d[better], j[better]
-                low, high = high, 2 * high
-                rows = rows[np.searchsorted(apart, 2 * (u[rows] + best[rows]), "right") > low]
-        return at, best
+                best[rows], at[rows] = np.where(better, d, best[rows]), np.where(better, j, at[rows])
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return at[back], best[back].astype(np.int64) if kind is not object else best[back]
 
 
 def unpacked(column: pa.Array) -> np.ndarray:
