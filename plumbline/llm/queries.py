@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontam, hostrules, htmltext, langid, merkle, mixing, neardup, oracles, pii, tokencount, tokenout, vectors, warc
+from plumbline.llm import decontam, hostrules, htmltext, langid, merkle, mixing, neardup, oracles, pii, secrets, tokencount, tokenout, vectors, warc
 from plumbline.llm.runtime import scratch
 
 
@@ -75,8 +75,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), tamper={"n_chars": F.when(seven, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_simhash_neardup, op3_token_counts, op4_warc_archive, op5_host_quality, op6_decontamination, op7_token_output, op8_temperature_mixing, op9_main_text, op10_personal_data, op11_vector_codes, op12_merkle_manifest)
+    found = (op1_language_id, op2_simhash_neardup, op3_token_counts, op4_warc_archive, op5_host_quality, op6_decontamination, op7_token_output, op8_temperature_mixing, op9_main_text, op10_personal_data, op11_vector_codes, op12_merkle_manifest, op13_secrets)
     return {f.__name__: f for f in found}
 
 
