@@ -13,21 +13,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import light_token_count
-
 CUT, DOT = "\u0001", "\u0002"
 # Fixed values.
 ABBREVIATIONS = "dr|mr|mrs|ms|prof|sr|jr|e\\.g|i\\.e|vs|no|fig|approx"
 CONJUNCTION = "(?iU)\\b(?:and|as well as|while|whereas)\\b|以及|并且|同时|而且"
 LONG_TOKENS, COMPOUND_TOKENS = 80, 40
-MARKER = "(?:\\d{1,2}[.)）、]|[-*•])\\s+"
 
 
 def marked(text: Column) -> Column:
     for pattern, to in (
         (f"[{CUT}{DOT}]", " "),
         ("(?md)^([ \\t]*\\d{1,2})\\.(?=\\s)", f"$1{DOT}"),
-        (f"(?i)(?<![A-Za-z.])({ABBREVIATIONS})\\.(?![.!?])", f"$1{DOT}"),
+        (f"\\.(?<=(?<![A-Za-z.])(?i:{ABBREVIATIONS})\\.)(?![.!?])", DOT),
         ("(?<![A-Za-z.])((?:[A-Za-z]\\.)+[A-Za-z])\\.(?![.!?])", f"$1{DOT}"),
         ("(?<![.!?])\\.(?=[^\\s.!?])", DOT),
         ("([。！？；;]+|[.!?]+)", f"$1{CUT}"),
@@ -42,43 +39,47 @@ def split_claims(df: DataFrame, key: str, text_col: str, long_tokens: int = LONG
     """``key``, the columns ``keep``, ``claim_no``, ``claim``, ``claim_start``, ``claim_end``, ``token_count``, ``features``, ``review_reasons``.
 
     Nothing is shuffled: a text's segments stay in its row until their offsets,
-    running sums of their lengths, are known.  A null text has no statement.
+    running sums of their lengths, are known.  Only the segments go through
+    Python; ``keep`` does not, and what is not asked for of it is not copied.  A
+    null text has no statement.
     """
-    segments = F.transform(F.split(marked(F.col(text_col)), CUT), lambda x: F.translate(x, DOT, "."))
-
-    def part(seg):
-        lead = F.regexp_extract(seg, f"(?U)^(\\s*(?:{MARKER})?)\\S", 1)
-        core = F.regexp_replace(F.substr(seg, F.char_length(lead) + 1), "(?U)\\s*[。！？；;.!?]*\\s*$", "")
-        return F.struct(F.char_length(seg).alias("size"), lead.alias("lead"), core.alias("claim"))
-
-    source = df.select(F.struct(key, *keep).alias("kept"), F.transform(segments, part).alias("parts"))
-    kinds = ", ".join(f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
-    parts = source.mapInArrow(_placed, f"kept struct<{kinds}>, claim_no int, start int, lead string, claim string")
-    tokens = light_token_count(F.col("claim"))
+    placed = F.arrow_udf(_placed, PLACED)(F.split(marked(F.col(text_col)), CUT))
+    parts = df.select(key, *keep, placed.alias("parts")).select(key, *keep, F.inline_outer("parts")).where("claim_no is not null")  # a plain inline has the function called twice
     sign = F.substring(F.regexp_replace("lead", "(?U)^\\s+", ""), 1, 1)
     features = F.when(sign == "", F.array().cast("array<string>")).when(sign.rlike("\\d"), F.array(F.lit("numbered_list_item"))).otherwise(F.array(F.lit("bullet_list_item")))
-    reasons = F.array_compact(F.array(F.when(tokens > long_tokens, "long_claim"), F.when(F.col("claim").rlike(CONJUNCTION) & (tokens >= compound_tokens), "possible_compound_claim")))
-    end = F.col("start") + F.char_length("claim")
-    return parts.select("kept.*", "claim_no", "claim", F.col("start").alias("claim_start"), end.alias("claim_end"), tokens.alias("token_count"), features.alias("features"), reasons.alias("review_reasons"))
-
-
-def _placed(batches):
-    """Rows of (kept, parts) as one row for each part with a statement: its number and its offset in the text."""
-    for batch in batches:
-        lists = batch.column(1)
-        each = lists.flatten()
-        owner = pc.list_parent_indices(lists).to_numpy()
-        sizes, lead, claim = (each.field(i) for i in range(3))
-        n = sizes.to_numpy(zero_copy_only=False).astype(np.int64)
-        first = np.searchsorted(owner, owner)  # the first part of the same text
-        before = np.cumsum(n) - n
-        start = before - before[first] + pc.utf8_length(lead).to_numpy(zero_copy_only=False)
-        said = pc.not_equal(claim, "").to_numpy(zero_copy_only=False)
-        count = np.cumsum(said)
-        number = count - (count - said)[first]
-        at = pa.array(np.flatnonzero(said))
-        columns = [batch.column(0).take(pa.array(owner[said])), pa.array(number[said].astype(np.int32)), pa.array(start[said].astype(np.int32)), lead.take(at), claim.take(at)]
-        yield pa.RecordBatch.from_arrays(columns, names=["kept", "claim_no", "start", "lead", "claim"])
+    tokens = F.col("token_count")
+    reasons = F.array_compact(F.array(F.when(tokens > long_tokens, "long_claim"), F.when((tokens >= compound_tokens) & F.col("claim").rlike(CONJUNCTION), "possible_compound_claim")))
+    end = F.col("claim_start") + F.char_length("claim")
+    return parts.select(key, *keep, "claim_no", "claim", "claim_start", end.alias("claim_end"), "token_count", features.alias("features"), reasons.alias("review_reasons"))
+
+
+PLACED = "array<struct<claim_no:int,claim_start:int,lead:string,claim:string,token_count:int>>"
+TOKEN = "[A-Za-z0-9]+|[\\x{4e00}-\\x{9fff}]"
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LEAD = f"(?s)^(?P<lead>[{SPACE}]*(?:(?:\\p{{Nd}}{{1,2}}[.)）、]|[-*•])[{SPACE}]+)?)(?P<rest>[^{SPACE}].*)$"
+
+
+def _placed(lists: pa.Array) -> pa.Array:
+    """Of each text's segments those with a statement: number, offset in the text, what leads it in, the statement and its light tokens."""
+    each = pc.replace_substring(lists.flatten(), DOT, ".")
+    owner = pc.list_parent_indices(lists).to_numpy()
+    found = pc.extract_regex(each, LEAD)
+    lead = pc.fill_null(pc.struct_field(found, "lead"), "")
+    claim = pc.fill_null(pc.struct_field(found, "rest"), "")
+    for trimmed in (SPACE, "。！？；;.!?", SPACE):
+        claim = pc.utf8_rtrim(claim, trimmed)
+    n = pc.utf8_length(each).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.searchsorted(owner, owner)  # the first segment of the same text
+    before = np.cumsum(n) - n
+    start = before - before[first] + pc.utf8_length(lead).to_numpy(zero_copy_only=False)
+    said = pc.not_equal(claim, "").to_numpy(zero_copy_only=False)
+    count = np.cumsum(said)
+    number = count - (count - said)[first]
+    at = pa.array(np.flatnonzero(said))
+    claim = claim.take(at)
+    columns = [pa.array(number[said].astype(np.int32)), pa.array(start[said].astype(np.int32)), lead.take(at), claim, pc.count_substring_regex(claim, TOKEN).cast(pa.int32())]
+    ends = np.r_[0, np.cumsum(np.bincount(owner[said], minlength=len(lists)))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, names=["claim_no", "claim_start", "lead", "claim", "token_count"]))
 
 
 #: The same in SQL; {src} has the columns k and t.

@@ -182,3 +182,13 @@ def test_model_surface_and_stream(spark, tmp_path):
 def test_union_counts_characters(spark, marks):
     df = spark.createDataFrame([(1, a, a + n) for a, n in marks], "k int, span_start int, span_end int")
     assert spans.covered_chars(spans.union_pieces(df, "k"), "k").first().chars == len({c for a, n in marks for c in range(a, a + n)})
+
+
+def test_leads_and_ends_of_statements(spark):
+    texts = ["　 1. Ja !? ", "- x", "12) y。。\n\n• z;", "٣. w", "3.", "*", "   ", "", "a  . ;", "\x85- b !"]
+    got = [(r.k, r.claim, r.claim_start, r.features) for r in split_claims(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t").orderBy("k", "claim_no").collect()]
+    assert all(texts[k][at : at + len(claim)] == claim for k, claim, at, _ in got)
+    assert [(k, c, f) for k, c, _, f in got] == [
+        (0, "1", []), (0, "Ja", []), (1, "x", ["bullet_list_item"]), (2, "y", ["numbered_list_item"]), (2, "z", ["bullet_list_item"]),
+        (3, "٣", []), (3, "w", []), (4, "3", []), (5, "*", []), (8, "a", []), (9, "b", ["bullet_list_item"]),
+    ]

@@ -78,3 +78,13 @@ def test_span_scores(spark):
 def test_sentences_keep_their_places():
     text = " Ja.  Nein! \n\n 好。 Ende"
     assert [text[a:b] for a, b in sentence_spans(text)] == ["Ja.", "Nein!", "好。", "Ende"]
+
+
+def test_long_answers_with_many_statements(spark):
+    text = "It is so, as we said. " * 11_000
+    rows = [(str(i), text, [("a", "t " * 50_000)], [(0, 5, "It is", "Evident Conflict")], "q", "m") for i in range(10)]
+    found = pairs.response_pairs(spark.createDataFrame(rows, RESPONSE).coalesce(1)).select("qid", "claim_start", "gold_label", "claim_token_count")
+    told = found.groupBy("qid").agg(F.count("*").alias("n"), F.max("claim_start").alias("last"), F.count_if(F.col("gold_label") == "conflict").alias("bad"), F.min("claim_token_count").alias("t")).collect()
+    assert {tuple(r)[1:] for r in told} == {(11_000, 22 * 10_999, 1, 6)} and len(told) == 10
+    generate = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "document#" not in generate.split("Generate inline")[0]
