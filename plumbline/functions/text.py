@@ -55,9 +55,9 @@ def sentences(text: Column) -> Column:
 
 def passages(text: Column) -> Column:
     """Numbered passages ("passage 1: ...") as (id, text); one passage where there is no such header."""
-    marked = F.regexp_replace(text, "(?i)(?:^|\\n\\s*)passage\\s+(\\d+)\\s*:\\s*", "\u0001$1\u0002")
-    parts = F.filter(F.split(marked, "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
-    named = F.transform(parts, lambda p: F.struct(F.concat(F.lit("passage_"), F.substring_index(p, "\u0002", 1)).alias("id"), strip(F.substring_index(p, "\u0002", -1)).alias("text")))
+    cut = F.split(text, "(?i)(?:^|\\n\\s*)passage\\s+(?=\\d+\\s*:)")
+    parts = F.slice(cut, 2, F.size(cut))
+    named = F.transform(parts, lambda p: F.struct(F.concat(F.lit("passage_"), F.regexp_extract(p, "^\\d+", 0)).alias("id"), strip(F.regexp_replace(p, "^\\d+\\s*:", "")).alias("text")))
     alone = F.array(F.struct(F.lit("passage_1").alias("id"), strip(text).alias("text")))
     return F.filter(F.when(F.size(parts) > 0, named).otherwise(alone), lambda p: p["text"] != "")
 

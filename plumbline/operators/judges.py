@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import is_abstention
 from plumbline.operators.evaluation import value_counts
 from plumbline.operators.pairs import span_scores
+from plumbline.operators.places import numbered
 from plumbline.operators.spans import ratio
 from plumbline.operators.verdicts import REVIEW, fused, nli_label, review
 
@@ -35,10 +36,6 @@ def scored_pairs(pairs: DataFrame, key: str, premise: str, hypothesis: str, fact
     return source.mapInArrow(run, f"k {kind}, " + ", ".join(f"{n} double" for n in names)).withColumnRenamed("k", key)
 
 
-#: Ranges in which rows are counted.
-RANGES = 1024
-
-
 def label_places(id2label: dict[int, str]) -> dict[str, int]:
     """Where a model has each of the three scores; an error if one is missing."""
     found = {str(name).lower(): int(i) for i, name in id2label.items()}
@@ -55,23 +52,18 @@ def flat_numbers(value) -> list[float]:
 
 
 def numbered_batches(pairs: DataFrame, order: str, size: int) -> DataFrame:
-    """``pairs`` with the batch they would be in if judged in the order of a number: ``batch_id`` and ``batch_size``.
+    """``pairs`` with the batch they would be in if judged in ``order``: ``batch_id`` and ``batch_size``.
 
-    Rows are counted in ``RANGES`` equal ranges of the number, so that no task
-    counts them all; ties of the number are numbered in no set order.
+    Every pair is in a batch; nulls in the order come first, and pairs that tie
+    are numbered in no set order.
     """
     if size < 1:
         raise ValueError("a batch has one pair at least")
-    ends = pairs.agg(F.min(order).alias("low"), F.max(order).alias("high"))  # one row
-    part = F.floor((F.col(order) - F.col("low")) / (F.col("high") - F.col("low") + 1) * RANGES)
-    dealt = pairs.crossJoin(F.broadcast(ends)).withColumn("part", part).drop("low", "high")
-    dealt = dealt.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = dealt.join(before, "part").withColumn("batch", F.floor((F.col("place") + F.col("before") - 1) / size) + 1)
-    counts = numbered.groupBy("batch").agg(F.count("*").cast("int").alias("batch_size"))
-    numbered = numbered.join(counts, "batch")
-    return numbered.withColumn("batch_id", F.concat(F.lit("b"), F.lpad(F.col("batch").cast("string"), 5, "0"))).drop("part", "place", "before", "batch")
+    rows = numbered(pairs, [order], place="__place", total="__pairs")
+    batch, last = F.floor(F.col("__place") / size) + 1, F.ceil(F.col("__pairs") / size)
+    many = F.when(batch < last, F.lit(size)).otherwise(F.col("__pairs") - (last - 1) * size).cast("int")
+    number = batch.cast("string")
+    return rows.withColumns({"batch_id": F.concat(F.lit("b"), F.lpad(number, F.greatest(F.lit(5), F.length(number)), F.lit("0"))), "batch_size": many}).drop("__place", "__pairs")
 
 
 def best_evidence(scored: DataFrame, claim_key: list[str], e_least: float = 0.5, c_least: float = 0.5) -> DataFrame:

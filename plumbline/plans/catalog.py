@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import answers, evidence, judged, judging, pairing  # noqa: F401  they register their queries
+from plumbline.plans import answers, evidence, files, judged, judging, pairing  # noqa: F401  they register their queries
 from plumbline.plans.registry import ORACLES, QUERIES
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, metrics, spans, verdicts
+from plumbline.operators import checks, evaluation, metrics, spans, verdicts
 from plumbline.plans.registry import query
 from plumbline.session import table
 
@@ -53,15 +53,10 @@ def subset_metrics(spark, d):
     return metrics.overall(metrics.confusion(tagged, ["subset"]), ["subset"])
 
 
-@query(f"""with {PAIRS_SQL} select cast(sum((gold <> 'supported' and pred in ('conflict', 'unsupported'))::int) as bigint) tp, cast(sum((gold = 'supported' and pred in ('conflict', 'unsupported'))::int) as bigint) fp, cast(sum((gold <> 'supported' and pred = 'supported')::int) as bigint) fn,
- cast(sum((gold <> 'supported' and pred = 'case_review')::int) as bigint) abstained_positive, cast(sum((gold = 'supported' and pred = 'case_review')::int) as bigint) abstained_negative, cast(sum((gold = 'conflict' and pred = 'unsupported')::int) as bigint) conflict_as_unsupported, cast(sum((gold = 'unsupported' and pred = 'conflict')::int) as bigint) unsupported_as_conflict from pairs""")
+@query(f"""with {PAIRS_SQL} select count(*) filter (gold <> 'supported' and pred in ('conflict', 'unsupported')) tp, count(*) filter (gold = 'supported' and pred in ('conflict', 'unsupported')) fp, count(*) filter (gold <> 'supported' and pred not in ('conflict', 'unsupported')) fn, count(*) filter (gold = 'supported' and pred = 'supported') tn,
+ count(*) filter (pred = 'case_review') abstentions, count(*) filter (gold <> 'supported' and pred = 'case_review') abstentions_positive_gold, count(*) filter (gold = 'supported' and pred = 'case_review') abstentions_negative_gold, count(*) filter (gold = 'conflict' and pred = 'unsupported') conflict_to_unsupported, count(*) filter (gold = 'unsupported' and pred = 'conflict') unsupported_to_conflict from pairs""")
 def binary_non_supported(spark, d):
-    bad, said, open_ = F.col("gold") != "supported", F.col("pred").isin("conflict", "unsupported"), F.col("pred") == verdicts.REVIEW
-    n = F.count_if
-    return pairs(spark, d).agg(
-        n(bad & said).alias("tp"), n(~bad & said).alias("fp"), n(bad & (F.col("pred") == "supported")).alias("fn"), n(bad & open_).alias("abstained_positive"), n(~bad & open_).alias("abstained_negative"),
-        n((F.col("gold") == "conflict") & (F.col("pred") == "unsupported")).alias("conflict_as_unsupported"), n((F.col("gold") == "unsupported") & (F.col("pred") == "conflict")).alias("unsupported_as_conflict"),
-    )
+    return pairs(spark, d).agg(*(c.alias(name) for name, c in evaluation.binary_counts().items()))
 
 
 @query(f"with {PAIRS_SQL} select g, gold, case when pred = later then 'unchanged' when later = gold then 'fixed' when pred = gold then 'regressed' else 'changed_but_still_wrong' end change, count(*) n from pairs group by 1, 2, 3")

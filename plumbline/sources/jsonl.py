@@ -56,18 +56,6 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
-def malformed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """``file``, ``line`` (from 1) and ``text`` of the lines that are not records.
-
-    Lines are numbered within whole files, so only use it to tell what ``read``
-    has raised about.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "text"))
-    record = F.from_json("text", F.lit(f"{schema}, _broken string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    lines = files.where(F.trim("text") != "").withColumn("record", record)
-    return lines.where(F.col("record._broken").isNotNull()).select("file", (F.col("i") + 1).alias("line"), "text")
-
-
 def read_checked(spark: SparkSession, path: str, schema: str, key: str | None = None, version: str | None = None) -> DataFrame:
     """``read`` with rows required, their schema version, and a key that is there once; anything else raises."""
     rows = read(spark, path, schema)
@@ -80,11 +68,6 @@ def read_checked(spark: SparkSession, path: str, schema: str, key: str | None =
     return rows
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with ``ordinal``, which grows in the order of files and of the lines in them; it has gaps."""
-    return df.withColumn("ordinal", F.monotonically_increasing_id())
-
-
 def prefix(df: DataFrame, order: str, n: int) -> DataFrame:
     """The first ``n`` rows by ``order``."""
     return df.orderBy(order).limit(n)

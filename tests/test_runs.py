@@ -8,13 +8,14 @@ import pytest
 
 from plumbline.operators import judges
 from plumbline.sources import jsonl, runs
+from plumbline.sources.lines import malformed, numbered_records
 
 
 def test_strict_records(spark, tmp_path):
     path = str(tmp_path / "r.jsonl")
     (tmp_path / "r.jsonl").write_text('{"k": "a", "schema_version": "v1"}\n\n{"k": "b", "schema_version": "v1"\n{"k": "c", "schema_version": "v1"}\n')
     schema = "k string, schema_version string"
-    assert [(r.line, r.text) for r in jsonl.malformed(spark, path, schema).collect()] == [(3, '{"k": "b", "schema_version": "v1"')]
+    assert [(r.line, r.text) for r in malformed(spark, path, schema).collect()] == [(3, '{"k": "b", "schema_version": "v1"')]
     with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
         jsonl.read(spark, path, schema).collect()
     for name, lines, error in (("none", "\n", "no records"), ("twice", '{"k": "a"}\n{"k": "a"}\n', "duplicate_key"), ("bare", '{"k": ""}\n', "no_key")):
@@ -25,7 +26,7 @@ def test_strict_records(spark, tmp_path):
     assert jsonl.read_checked(spark, str(tmp_path / "good"), schema, "k").count() == 2
     with pytest.raises(ValueError, match="schema_version: b"):
         jsonl.read_checked(spark, str(tmp_path / "good"), schema, "k", "v1")
-    numbered = jsonl.numbered(jsonl.read(spark, str(tmp_path / "good"), schema))
+    numbered = numbered_records(spark, str(tmp_path / "good"), schema)
     assert [r.k for r in jsonl.prefix(numbered, "ordinal", 1).collect()] == ["a"]
 
 
