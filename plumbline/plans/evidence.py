@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import audit, chunks, evaluation, experiments, ranking
+from plumbline.operators import audit, budgets, chunks, evaluation, experiments, ranking
 from plumbline.operators.claims import SPLIT_SQL, split_claims
 from plumbline.plans.answers import RETRIEVAL_SQL, SELECTION_SQL, STOP_SQL, contexts, responses, retrieval, selection
 from plumbline.plans.registry import query
@@ -29,7 +29,8 @@ def candidates(spark, d) -> DataFrame:
 def scored_candidates(spark, d) -> DataFrame:
     """qid, variant, pos and score of every candidate by text and by chance."""
     bm25 = selection(spark, d, contexts).select("qid", F.lit("bm25").alias("variant"), "pos", "score")
-    chance = experiments.random_scores(bm25, 42).select("qid", F.lit("random").alias("variant"), "pos", "score")
+    places = responses(spark, d).select("qid", "conv_id").join(contexts(spark, d).select("conv_id", "pos"), "conv_id")
+    chance = experiments.random_scores(places, 42).select("qid", F.lit("random").alias("variant"), "pos", "score")
     return bm25.unionByName(chance)
 
 
@@ -50,6 +51,21 @@ def budget_select(spark, d):
     return experiments.budget_choice(rows).withColumn("chosen", F.array_join(F.transform("chosen", lambda x: x.cast("string")), ","))
 
 
+@query()
+def budget_tokens(spark, d):
+    """``budget_select`` with the tokens of a byte-pair tokenizer, which do not add up over chunks."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pool = contexts(spark, d)
+    block = F.concat(F.lit("[Evidence "), F.col("doc_id").cast("string"), F.lit("]\n"), F.col("text"))
+    cut = budgets.profiles(pool.select("conv_id", "pos", block.alias("block")), ["conv_id", "pos"], "block", path)
+    asked = responses(spark, d).select("qid", "conv_id", F.coalesce("query", F.lit("")).alias("query"))
+    claims = asked.select("qid", "conv_id").join(budgets.token_counts(asked, "qid", "query", path, "claim_tokens"), "qid")
+    scored = scored_candidates(spark, d).join(claims, "qid").join(cut, ["conv_id", "pos"])
+    return budgets.exact_choice(scored, path, specials=2).withColumn("chosen", F.array_join(F.transform("chosen", lambda x: x.cast("string")), ","))
+
+
 @query(VARIANTS_SQL + """,
 three as (select o.qid, variant, r, o.pos, doc_id, '[Evidence ' || doc_id || ']' || chr(10) || text block from ordered o join responses using (qid) join contexts on contexts.conv_id = responses.conv_id and contexts.pos = o.pos where r <= 3),
 a as (select qid, variant, string_agg(doc_id::varchar, ',' order by r) rank_ids, string_agg(doc_id::varchar, ',' order by pos) source_ids, sha256(string_agg(block, chr(10) || chr(10) order by r)) rank_sha256, sha256(string_agg(block, chr(10) || chr(10) order by pos)) source_sha256 from three group by qid, variant)
