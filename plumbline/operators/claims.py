@@ -35,32 +35,62 @@ def marked(text: Column) -> Column:
     return text
 
 
-def split_claims(df: DataFrame, key: str, text_col: str, long_tokens: int = LONG_TOKENS, compound_tokens: int = COMPOUND_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
+def split_claims(df: DataFrame, key: str, text_col: str, long_tokens: int = LONG_TOKENS, compound_tokens: int = COMPOUND_TOKENS, keep: tuple[str, ...] = (), spans: str | None = None) -> DataFrame:
     """``key``, the columns ``keep``, ``claim_no``, ``claim``, ``claim_start``, ``claim_end``, ``token_count``, ``features``, ``review_reasons``.
 
     Nothing is shuffled: a text's segments stay in its row until their offsets,
     running sums of their lengths, are known.  Only the segments go through
     Python; ``keep`` does not, and what is not asked for of it is not copied.  A
-    null text has no statement.
+    null text has no statement.  ``spans`` names an array of structs with
+    ``start`` and ``end``: each statement then has ``spans``, those that share a
+    place with it, in their order, found by binary searches.
     """
-    placed = F.arrow_udf(_placed, PLACED)(F.split(marked(F.col(text_col)), CUT))
-    parts = df.select(key, *keep, placed.alias("parts")).select(key, *keep, F.inline_outer("parts")).where("claim_no is not null")  # a plain inline has the function called twice
+    segments = F.split(marked(F.col(text_col)), CUT)
+    if spans:
+        end = lambda name: F.coalesce(F.transform(spans, lambda s: s[name].cast("int")), F.array().cast("array<int>"))
+        placed = df.select(key, *keep, spans, F.arrow_udf(_placed, PLACED)(segments, end("start"), end("end")).alias("parts"))
+        whole = lambda p: F.struct(*(p[c].alias(c) for c in ("claim_no", "claim_start", "lead", "claim", "token_count")), F.transform(p["hits"], lambda i: F.get(spans, i)).alias("spans"))
+        placed = placed.select(key, *keep, F.transform("parts", whole).alias("parts"))
+    else:
+        none = F.array().cast("array<int>")
+        placed = df.select(key, *keep, F.arrow_udf(_placed, PLACED)(segments, none, none).alias("parts"))
+    parts = placed.select(key, *keep, F.inline_outer("parts")).where("claim_no is not null")  # a plain inline has the function called twice
+    if not spans:
+        parts = parts.drop("hits")
     sign = F.substring(F.regexp_replace("lead", "(?U)^\\s+", ""), 1, 1)
     features = F.when(sign == "", F.array().cast("array<string>")).when(sign.rlike("\\d"), F.array(F.lit("numbered_list_item"))).otherwise(F.array(F.lit("bullet_list_item")))
     tokens = F.col("token_count")
     reasons = F.array_compact(F.array(F.when(tokens > long_tokens, "long_claim"), F.when((tokens >= compound_tokens) & F.col("claim").rlike(CONJUNCTION), "possible_compound_claim")))
     end = F.col("claim_start") + F.char_length("claim")
-    return parts.select(key, *keep, "claim_no", "claim", "claim_start", end.alias("claim_end"), "token_count", features.alias("features"), reasons.alias("review_reasons"))
+    return parts.select(key, *keep, "claim_no", "claim", "claim_start", end.alias("claim_end"), "token_count", features.alias("features"), reasons.alias("review_reasons"), *(["spans"] if spans else []))
 
 
-PLACED = "array<struct<claim_no:int,claim_start:int,lead:string,claim:string,token_count:int>>"
+PLACED = "array<struct<claim_no:int,claim_start:int,lead:string,claim:string,token_count:int,hits:array<int>>>"
 TOKEN = "[A-Za-z0-9]+|[\\x{4e00}-\\x{9fff}]"
 SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LEAD = f"(?s)^(?P<lead>[{SPACE}]*(?:(?:\\p{{Nd}}{{1,2}}[.)）、]|[-*•])[{SPACE}]+)?)(?P<rest>[^{SPACE}].*)$"
 
 
-def _placed(lists: pa.Array) -> pa.Array:
-    """Of each text's segments those with a statement: number, offset in the text, what leads it in, the statement and its light tokens."""
+def _hits(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, span_starts: pa.Array, span_ends: pa.Array) -> pa.Array:
+    """For each statement (in order within its text, without overlap) the numbers of its text's spans that share a place with it."""
+    a, b = (x.flatten().to_numpy(zero_copy_only=False).astype(float) for x in (span_starts, span_ends))  # nulls are NaN
+    text = pc.list_parent_indices(span_starts).to_numpy()
+    number = np.arange(len(text)) - np.searchsorted(text, text)
+    step = float(max(ends.max(initial=0), np.nan_to_num(b).max(initial=0)) + 1)
+    sound = ~(np.isnan(a) | np.isnan(b))
+    a, b, text, number = np.clip(a[sound], 0, step), np.clip(b[sound], 0, step - 1), text[sound], number[sound]
+    low = np.searchsorted(ends + owner * step, a + text * step, "right")  # the first statement that ends behind the span's start
+    high = np.searchsorted(starts + owner * step, b + text * step, "left")  # the first that starts at its end or behind
+    many = np.maximum(high - low, 0)
+    span = np.repeat(np.arange(len(low)), many)
+    claim = low[span] + np.arange(len(span)) - (np.cumsum(many) - many)[span]
+    order = np.lexsort((span, claim))
+    sizes = np.bincount(claim, minlength=len(starts)) if len(claim) else np.zeros(len(starts), int)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(number[span[order]].astype(np.int32)))
+
+
+def _placed(lists: pa.Array, span_starts: pa.Array, span_ends: pa.Array) -> pa.Array:
+    """Of each text's segments those with a statement: number, offset in the text, what leads it in, the statement, its light tokens and which spans it meets."""
     each = pc.replace_substring(lists.flatten(), DOT, ".")
     owner = pc.list_parent_indices(lists).to_numpy()
     found = pc.extract_regex(each, LEAD)
@@ -77,9 +107,10 @@ def _placed(lists: pa.Array) -> pa.Array:
     number = count - (count - said)[first]
     at = pa.array(np.flatnonzero(said))
     claim = claim.take(at)
-    columns = [pa.array(number[said].astype(np.int32)), pa.array(start[said].astype(np.int32)), lead.take(at), claim, pc.count_substring_regex(claim, TOKEN).cast(pa.int32())]
+    hits = _hits(start[said].astype(float), start[said] + pc.utf8_length(claim).to_numpy(zero_copy_only=False).astype(float), owner[said], span_starts, span_ends)
+    columns = [pa.array(number[said].astype(np.int32)), pa.array(start[said].astype(np.int32)), lead.take(at), claim, pc.count_substring_regex(claim, TOKEN).cast(pa.int32()), hits]
     ends = np.r_[0, np.cumsum(np.bincount(owner[said], minlength=len(lists)))].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, names=["claim_no", "claim_start", "lead", "claim", "token_count"]))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, names=["claim_no", "claim_start", "lead", "claim", "token_count", "hits"]))
 
 
 #: The same in SQL; {src} has the columns k and t.

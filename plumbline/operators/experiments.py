@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import draw, occurrences
+from plumbline.functions.text import draw
 from plumbline.operators import checks
 from plumbline.operators.chunks import SPECIALS, case_retention, chunked, retained
+from plumbline.operators.quotes import quote_places
 
 METHODS = ("random", "bm25", "dense")
 KS = (1, 3, 5)
@@ -122,10 +123,10 @@ def sweep_comparisons(methods: tuple[str, ...] = METHODS, ks: tuple[int, ...] =
 
 def annotated_spans(annotations: DataFrame, contexts: DataFrame, group: str) -> DataFrame:
     """Every place of each annotated quote: (``group``, case, requirement, source_id, quote) rows as spans; overlapping places too."""
-    texts = contexts.select(group, F.col("id").cast("string").alias("source_id"), F.col("text").alias("source_text"))
-    found = annotations.join(texts, [group, "source_id"]).where(F.contains("source_text", F.col("quote")))
-    places = found.select(group, "case", "requirement", "source_id", "quote", F.explode(occurrences(F.col("source_text"), F.col("quote"))).alias("start"))
-    return places.select(group, "case", "requirement", "source_id", F.col("start").cast("int").alias("start"), (F.col("start") + F.char_length("quote")).cast("int").alias("end"), F.col("quote").alias("text"))
+    texts = contexts.select(group, F.col("id").cast("string").alias("source_id"), "text")
+    places = quote_places(annotations, texts, [group, "source_id"])
+    found = annotations.select(group, "case", "requirement", "source_id", "quote").join(places, [group, "source_id", "quote"])
+    return found.select(group, "case", "requirement", "source_id", F.col("place").alias("start"), (F.col("place") + F.char_length("quote")).cast("int").alias("end"), F.col("quote").alias("text"))
 
 
 def annotation_violations(annotations: DataFrame, pairs: DataFrame, contexts: DataFrame, group: str) -> DataFrame:

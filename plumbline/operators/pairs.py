@@ -131,9 +131,8 @@ def response_pairs(responses: DataFrame, dataset: str = "answers", long_tokens:
         F.col("qid").cast("string").alias("qid"), F.col("answer").alias("response"), document.alias("document"), ids.alias("document_ids"),
         F.coalesce(F.col("gold_spans"), F.array()).cast(f"array<{SPAN}>").alias("all_spans"), *((F.col(c) if c in responses.columns else F.lit(None).cast("string")).alias(c) for c in CARRIED),
     )
-    claims = split_claims(source, "qid", "response", long_tokens, compound_tokens, keep=("response", "document", "document_ids", "all_spans", *CARRIED))
+    claims = split_claims(source, "qid", "response", long_tokens, compound_tokens, keep=("response", "document", "document_ids", *CARRIED), spans="all_spans").withColumnRenamed("spans", "gold_spans")
     start, end = F.col("claim_start"), F.col("claim_end")
-    claims = claims.withColumn("gold_spans", F.filter("all_spans", lambda s: (s["start"] < end) & (start < s["end"])))
     claims = claims.withColumn("gold_overlap_details", overlap_details(F.col("gold_spans"), start, end))
     claims = claims.withColumn("gold_overlap_char_count", union_chars(F.col("gold_overlap_details")))
     number = F.lpad(F.col("claim_no").cast("string"), F.greatest(F.lit(2), F.char_length(F.col("claim_no").cast("string"))), F.lit("0"))

@@ -11,15 +11,36 @@ UNSUPPORTED_TYPES = ("Evident Baseless Info", "Subtle Baseless Info")
 LOW_CLAIM_RATIO, LOW_SPAN_RATIO, BOUNDARY_CHARS = 0.20, 0.50, 3
 
 
-def overlaps(claims: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Claim and span of the same ``key`` that share a character, with how they overlap.
+#: Characters in a bin of the interval join.
+BIN = 512
+
 
-    The equal keys make it a hash or merge join; the ranges are its condition.
+def interval_pairs(a: DataFrame, b: DataFrame, key: str, a_ends: tuple[str, str], b_ends: tuple[str, str], width: int = BIN) -> DataFrame:
+    """Rows of ``a`` and ``b`` of the same ``key`` whose intervals share a place, each pair once.
+
+    An interval is filed under every bin of ``width`` places that it touches, and
+    rows meet only within a bin, so a key with very many intervals is joined
+    piece by piece and by many tasks.  A pair counts in the first bin that both
+    touch.  The columns of the two but for the key must differ; rows with a null
+    key or end meet nothing.
     """
-    near = spans.withColumnRenamed(key, "__k")
-    both = claims.join(near, (claims[key] == F.col("__k")) & (F.col("span_start") < F.col("claim_end")) & (F.col("claim_start") < F.col("span_end")))
+    def filed(df, start, end, first, name):
+        low = F.floor(F.col(start) / width).cast("int")
+        high = F.floor(F.greatest(F.col(end) - 1, F.col(start)) / width).cast("int")
+        return df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn(first, low).withColumn(name, F.explode(F.sequence(low, high)))
+
+    left = filed(a, *a_ends, "__low_a", "__bin")
+    right = filed(b.withColumnRenamed(key, "__k"), *b_ends, "__low_b", "__bin_b")
+    near = (F.col(a_ends[0]) < F.col(b_ends[1])) & (F.col(b_ends[0]) < F.col(a_ends[1]))
+    both = left.join(right, (left[key] == right["__k"]) & (F.col("__bin") == F.col("__bin_b")) & near & (F.col("__bin") == F.greatest("__low_a", "__low_b")))
+    return both.drop("__k", "__bin", "__bin_b", "__low_a", "__low_b")
+
+
+def overlaps(claims: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """Claim and span of the same ``key`` that share a character, with how they overlap."""
+    both = interval_pairs(claims, spans, key, ("claim_start", "claim_end"), ("span_start", "span_end"))
     chars = F.least("claim_end", "span_end") - F.greatest("claim_start", "span_start")
-    both = both.drop("__k").withColumn("overlap_chars", chars)
+    both = both.withColumn("overlap_chars", chars)
     return both.withColumns({
         "claim_ratio": F.round(F.col("overlap_chars") / (F.col("claim_end") - F.col("claim_start")), 6),
         "span_ratio": F.round(F.col("overlap_chars") / (F.col("span_end") - F.col("span_start")), 6),
@@ -61,7 +82,7 @@ def covered_chars(pieces: DataFrame, key: str) -> DataFrame:
 def shared_chars(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Characters in both of two sets of disjoint pieces."""
     left = a.select(key, F.col("span_start").alias("s"), F.col("span_end").alias("e"))
-    both = left.join(b, key).where("s < span_end and span_start < e")
+    both = interval_pairs(left, b.select(key, "span_start", "span_end"), key, ("s", "e"), ("span_start", "span_end"))
     return both.groupBy(key).agg(F.sum(F.least("e", "span_end") - F.greatest("s", "span_start")).alias("shared"))
 
 
