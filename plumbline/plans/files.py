@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import digests, draws
+from plumbline.operators import digests, draws, pairs, truncation
 from plumbline.plans.registry import query
 from plumbline.session import table
-from plumbline.sources import lines
+from plumbline.sources import jsonl, lines
 from plumbline.sources.scratch import scratch
 
 TURN = ["conv_id", "turn", "role", "text"]
@@ -74,3 +74,29 @@ def random_draws(spark, d):
 def exact_sample(spark, d):
     """A hundred documents, as a seeded generator takes them of all in the order of their ids."""
     return draws.exact_sample(table(spark, d, "documents").select("doc_id", "source", "lang"), 100, 42, ["doc_id"])
+
+
+@query()
+def truncation_places(spark, d):
+    """Where documents, each beside its source's name and its language as the claim, end under two limits."""
+    import public_tokenizers
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text", F.concat_ws(" ", "source", "lang").alias("claim_id"))
+    claims = docs.select("claim_id", F.col("claim_id").alias("text")).distinct()
+    rows = docs.select(F.col("document_id").alias("pair_id"), "document_id", "claim_id")
+    return truncation.truncation_places(rows, docs.select("document_id", "text"), claims, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("""select cast(c_custkey as varchar) qid, 'tell of ' || c_name query, '{"name": "' || c_name || '", "segment": "' || c_mktsegment || '", "orders": [' || coalesce(o.ids, '') || '], "more": {"nation": ' || c_nationkey || ', "é": null, "good": ' || (c_nationkey > 9) || '}}' as source_text
+from customer left join (select o_custkey, string_agg(o_orderkey, ', ' order by o_orderkey) ids from orders group by o_custkey) o on o_custkey = c_custkey""")
+def object_sources(spark, d):
+    """Sources that are objects, written as JSON lines, read back and converted to responses with the object as its text."""
+    ids = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("ids"))
+    rows = table(spark, d, "customer").join(ids, F.col("c_custkey") == F.col("o_custkey"), "left")
+    more = F.struct(F.col("c_nationkey").alias("nation"), F.lit(None).cast("string").alias("é"), (F.col("c_nationkey") > 9).alias("good"))
+    info = F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.coalesce("ids", F.array().cast("array<bigint>")).alias("orders"), more.alias("more"))
+    path = scratch(spark, "sources")
+    rows.select(F.col("c_custkey").cast("string").alias("source_id"), F.lit("Data2txt").alias("task_type"), F.lit("customer").alias("source"), F.concat(F.lit("tell of "), "c_name").alias("prompt"), info.alias("source_info")).write.option("ignoreNullFields", False).json(path)
+    said = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_custkey").cast("string").alias("source_id"), F.lit("m").alias("model"), F.lit(0.5).alias("temperature"), F.lit("test").alias("split"), F.lit("good").alias("quality"), F.col("c_comment" if "c_comment" in table(spark, d, "customer").columns else "c_name").alias("response"), F.array().cast(f"array<{pairs.SPAN}>").alias("labels"))
+    told = pairs.converted(pairs.filtered_responses(said, jsonl.read_sources(spark, path), task_type="Data2txt"))
+    return told.select("qid", "query", F.element_at("contexts", 1)["text"].alias("source_text"))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import ABSTENTION_PATTERNS, is_abstention
-from plumbline.operators import checks, evaluation, judges, metrics, verdicts
+from plumbline.operators import checks, evaluation, judges, measured, metrics, verdicts
 from plumbline.operators.claims import split_claims
 from plumbline.plans.answers import RULE_SQL, responses, rule_verdicts
 from plumbline.plans.judged import ORDER_SCORES_SQL, PAIRS_SQL, SCORES_SQL, TOP_SQL, pairs, scores
 from plumbline.plans.registry import query
 from plumbline.session import table
+from plumbline.sources.scratch import scratch
 
 Z = metrics.Z
 ROWS_SQL = f"{PAIRS_SQL}, rows as (select g, id, gold, pred, id % 3 = 0 or pred = 'case_review' flag, list_filter([case when id % 3 = 0 then 'data' end, case when pred = 'case_review' then 'model_disagreement' end, case when id % 6 = 0 then 'data' end], lambda x: x is not null) reasons from pairs)"
@@ -179,6 +180,38 @@ def judge_batches(spark, d):
     return judges.numbered_batches(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), "k", 64)
 
 
+RUN_SQL = """a as (select conv_id * 1000 + turn qid, text answer, lag(text) over (partition by conv_id order by turn) q, role from conversations),
+r as (select qid, coalesce(answer, '') answer, coalesce(q, '') q, row_number() over (order by qid) - 1 as p, count(*) over () as n from a where role = 'assistant'),
+j as (select qid pair_id, 'b' || lpad(cast(p // 16 + 1 as varchar), 5, '0') batch_id, cast(least(16, n - p // 16 * 16) as integer) batch_size, length(answer) document_len, length(q) claim_len, ((length(answer) * 31 + length(q) * 17) % 1001) / 1000.0::double score from r)"""
+
+
+class LengthJudge:
+    """A stand-in for a model: the score follows from the texts' lengths."""
+
+    def __call__(self):
+        return lambda documents, claims: [((len(d) * 31 + len(c) * 17) % 1001 / 1000,) for d, c in zip(documents, claims)]
+
+
+def judged_turns(spark, d) -> DataFrame:
+    rows = responses(spark, d).select(F.col("qid").alias("pair_id"), F.col("answer").alias("document"), F.col("query").alias("claim"))
+    told = measured.judged_pairs(rows, LengthJudge(), ("score",), batch_size=16)
+    return told.withColumns({"pred_label": F.when(F.col("score") >= 0.5, "supported").otherwise("unsupported"), "review_flag": F.col("score").between(0.3, 0.7)})
+
+
+@query(f"with {RUN_SQL} select pair_id, batch_id, batch_size, document_len, claim_len, score, case when score >= 0.5 then 'supported' else 'unsupported' end pred_label from j")
+def judged_run(spark, d):
+    return judged_turns(spark, d).select("pair_id", "batch_id", "batch_size", "document_len", "claim_len", "score", "pred_label")
+
+
+@query(f"""with {RUN_SQL} select count(*) pairs, count(distinct batch_id) batches, count(*) filter (score >= 0.5) supported, count(*) filter (score < 0.5) unsupported, count(*) filter (score between 0.3 and 0.7) review_pairs,
+ min(score) score_min, max(score) score_max, cast(sum(document_len) as bigint) document_chars, cast(sum(claim_len) as bigint) claim_chars from j""")
+def run_account(spark, d):
+    told = measured.write_results(judged_turns(spark, d), scratch(spark, "results"), ("supported", "unsupported"))
+    counts = told["pred_label_counts"]
+    row = (told["pairs"], told["batches"], counts.get("supported", 0), counts.get("unsupported", 0), told["review_pairs"], told["score_min"], told["score_max"], told["document_chars"], told["claim_chars"])
+    return spark.createDataFrame([row], "pairs long, batches long, supported long, unsupported long, review_pairs long, score_min double, score_max double, document_chars long, claim_chars long")
+
+
 ABSTAINS = "|".join(ABSTENTION_PATTERNS)
 RESPONSE_SQL = RULE_SQL + f""",
 j as (select claims.k qid, claims.claim_no, claim_start, claim_end, case when regexp_matches(lower(claims.claim), '{ABSTAINS}') then v.label when (claims.k * 31 + claims.claim_no) % 5 = 0 then 'conflict' when (claims.k * 31 + claims.claim_no) % 3 = 0 then 'supported' else v.label end lab from claims join v on v.qid = claims.k and v.claim_no = claims.claim_no),
