@@ -41,6 +41,24 @@ def span_rules(answer: str = "answer") -> dict[str, Column]:
     }
 
 
+SCORES = ("entailment", "contradiction", "neutral")
+
+
+def score_rules() -> dict[str, Column]:
+    """What a three-way result's scores, top label, lengths and flag must be; of scores that tie the first named is the top."""
+    best = F.greatest(*SCORES)
+    first = F.coalesce(*(F.when(F.col(c) == best, F.lit(c)) for c in SCORES))
+    return {
+        "probability": F.exists(F.array(*SCORES), lambda p: p.isNull() | F.isnan(p) | (p < 0) | (p > 1)), "top_label": F.col("top_label") != first, "top_score": F.col("top_score") != best, "score": (F.col("score") < 0) | (F.col("score") > 1),
+        "document_len": F.col("document_len") != F.char_length("document"), "claim_len": F.col("claim_len") != F.char_length("claim"), "review_flag": F.col("review_flag").isNull(),
+    }
+
+
+def binary_rules() -> dict[str, Column]:
+    """What a two-way result must be: its prediction is its label's."""
+    return {"prediction": F.col("prediction") != (F.col("pred_label") == "supported").cast("int"), "label": ~F.col("pred_label").isin("supported", "unsupported"), "score": (F.col("score") < 0) | (F.col("score") > 1)}
+
+
 def result_rules() -> dict[str, Column]:
     total = F.col("entailment") + F.col("contradiction") + F.col("neutral")
     return {"label": ~F.col("pred_label").isin(*LABELS), "gold": ~F.col("gold_label").isin(*LABELS), "probability_sum": F.abs(total - 1) > 0.001, "latency": F.col("latency_ms") < 0}

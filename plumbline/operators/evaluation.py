@@ -168,6 +168,25 @@ def change_report(changes: DataFrame, by: list[str]) -> DataFrame:
     return changes.groupBy(*by, "gold", "change").agg(F.count("*").alias("n"))
 
 
+def order_comparisons(methods: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Which variants of an order control are set against which: rank against source order, the stored run against its repetition, and the whole sources."""
+    return [*((f"{m}_rank", f"{m}_source") for m in methods), *((f"old_{m}", f"{m}_rank") for m in methods), ("old_full_source", "full_chunked_source")]
+
+
+def experiment_report(verdicts: DataFrame, pairs_of: list[tuple[str, str]]) -> DataFrame:
+    """``part``, ``name``, ``item`` and ``value``: every variant's metrics, and what changed in every comparison, all labels together and one by one.
+
+    One job whatever the number of comparisons.  A stored run takes part as
+    variants of its own, so drift is a comparison like others.
+    """
+    told = classification(verdicts, ["variant"])
+    scores = told.select(F.lit("metric").alias("part"), F.col("variant").alias("name"), F.concat_ws(".", "label", "metric").alias("item"), "value")
+    changes = comparisons(verdicts, pairs_of).withColumn("name", F.concat("from_variant", F.lit("->"), "to_variant"))
+    each = changes.select("name", F.explode(F.array(F.struct(F.lit("change").alias("part"), F.col("change").alias("item")), F.struct(F.lit("change_by_gold").alias("part"), F.concat_ws(".", "gold", "change").alias("item")))).alias("x"))
+    counts = each.groupBy(F.col("x.part").alias("part"), "name", F.col("x.item").alias("item")).agg(F.count("*").cast("double").alias("value"))
+    return scores.unionByName(counts)
+
+
 def flip_report(changes: DataFrame, by: list[str]) -> DataFrame:
     """Flips of all and of those whose order changed (null of none), and flips of the same input; needs ``order_changed``."""
     flip = F.col("change") != "unchanged"

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import draw
-from plumbline.operators import checks
+from plumbline.operators import checks, digests
 from plumbline.operators.chunks import SPECIALS, case_retention, chunked, retained
 from plumbline.operators.quotes import quote_places
 
@@ -121,6 +121,27 @@ def sweep_comparisons(methods: tuple[str, ...] = METHODS, ks: tuple[int, ...] =
     return [*within, *((f"{across[0]}_k{k}", f"{across[1]}_k{k}") for k in ks), ("full_source", "full_chunked_source")]
 
 
+def check_rebuilt(stored: DataFrame, rebuilt: DataFrame, key: list[str], columns: list[str]) -> None:
+    """Raise with some rows if what is stored is not what its inputs give again; of equal tables only digests meet."""
+    found = digests.changes(stored, rebuilt, key, columns).orderBy(*key).take(5)
+    if found:
+        raise ValueError("stored and rebuilt differ: " + "; ".join(f"{'/'.join(str(r[k]) for k in key)} {r['change']}" for r in found))
+
+
+def pool_scores(scores: DataFrame, chunks: DataFrame, group: str, pairs: DataFrame) -> DataFrame:
+    """A score for every chunk of every pair's pool (qid, pos, score) from an outside ranker's rows (qid, chunk_id, score).
+
+    A pool's chunk without a score, one that is scored twice, and scores of
+    chunks that the pool has not raise: a ranking may not be of part of a pool.
+    """
+    pool = pairs.select("qid", group).join(chunks.select(group, "pos", "chunk_id"), group).select("qid", "pos", "chunk_id")
+    told = scores.groupBy("qid", "chunk_id").agg(F.count("*").alias("n"), F.max("score").alias("score"))
+    both = pool.join(told, ["qid", "chunk_id"], "full").withColumn("key", F.concat_ws("/", F.col("qid").cast("string"), "chunk_id"))
+    rules = {"not_in_pool": F.col("pos").isNull(), "not_scored": F.col("n").isNull(), "scored_twice": F.coalesce(F.col("n") > 1, F.lit(False)), "no_number": F.col("n").isNotNull() & (F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf")))}
+    checks.enforce(checks.violations(both, "key", rules))
+    return both.select("qid", "pos", "score")
+
+
 def annotated_spans(annotations: DataFrame, contexts: DataFrame, group: str) -> DataFrame:
     """Every place of each annotated quote: (``group``, case, requirement, source_id, quote) rows as spans; overlapping places too."""
     texts = contexts.select(group, F.col("id").cast("string").alias("source_id"), "text")

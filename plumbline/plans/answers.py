@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import ABSTENTION_PATTERNS, ENGLISH_STOPWORDS, NEGATIVE_WORDS, STOPWORDS, evidence_document, has_negative, light_token_count, strip, terms, words
-from plumbline.operators import audit, checks, metrics, ranking, spans, verdicts
+from plumbline.operators import audit, checks, generation, ranking, spans, verdicts
 from plumbline.operators.chunks import chunked
 from plumbline.operators.claims import SPLIT_SQL, split_claims
 from plumbline.plans.registry import query
@@ -224,10 +224,7 @@ q as (select qid, term, count(*) n from (select qid, unnest({TOKENS_A_SQL.format
 s as (select a.qid, sum(least(a.n, q.n)) shared from a join q on a.qid = q.qid and a.term = q.term group by a.qid), ta as (select qid, sum(n) n from a group by qid), tq as (select qid, sum(n) n from q group by qid)
 select r.qid, cast(coalesce(shared, 0) as bigint) shared, case when coalesce(ta.n, 0) + coalesce(tq.n, 0) = 0 then 0.0 else 2.0 * coalesce(shared, 0) / (coalesce(ta.n, 0) + coalesce(tq.n, 0)) end token_f1 from responses r left join s on s.qid = r.qid left join ta on ta.qid = r.qid left join tq on tq.qid = r.qid""")
 def answer_token_f1(spark, d):
-    rows = responses(spark, d)
-    bag = lambda c: rows.select("qid", F.explode(terms(F.col(c))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias(f"n_{c}"))
-    both = bag("answer").join(bag("query"), ["qid", "term"], "full").groupBy("qid").agg(F.sum(F.least(F.coalesce("n_answer", F.lit(0)), F.coalesce("n_query", F.lit(0)))).alias("shared"), F.sum(F.coalesce("n_answer", F.lit(0)) + F.coalesce("n_query", F.lit(0))).alias("total"))
-    return rows.select("qid").join(both, "qid", "left").select("qid", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"), spans.ratio(2.0 * F.coalesce("shared", F.lit(0)), F.coalesce("total", F.lit(0))).alias("token_f1"))
+    return generation.token_f1(responses(spark, d), "qid", "answer", "query")
 
 
 @query(f"""with stripped as (select doc_id, {STRIP_SQL.format(t="text")} text from documents) select doc_id, case when regexp_matches(text, '{audit.NONCLAIM}') or regexp_matches(text, '{audit.BOILERPLATE}') or ends_with(text, ':') then 'exclude_nonclaim'

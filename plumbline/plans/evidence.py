@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import audit, budgets, chunks, evaluation, experiments, ranking
+from plumbline.operators import audit, budgets, chunks, evaluation, experiments, generation, ranking
 from plumbline.operators.claims import SPLIT_SQL, split_claims
 from plumbline.plans.answers import RETRIEVAL_SQL, SELECTION_SQL, STOP_SQL, contexts, responses, retrieval, selection
-from plumbline.plans.registry import query
+from plumbline.plans.registry import ORACLES, query
 from plumbline.session import table
 
 TOKENS_SQL = "[\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s\\x0b\\x85\\xa0]".replace("{{", "{").replace("}}", "}")
@@ -106,6 +106,25 @@ def extractive_answer(spark, d):
     return ranking.extractive_answers(responses(spark, d).select("qid", F.coalesce("query", F.lit("")).alias("query")), sentences, REFUSAL)
 
 
+MODES_SQL = ORACLES["extractive_answer"].replace("select r.qid, coalesce(score, 0) score, case when", ", said_all as (select r.qid, case when") + """), g as (select *, qid % 3 <> 0 asks from responses),
+ev as (select kept.qid, kr::bigint o, doc_id from kept join responses using (qid) join contexts using (conv_id, pos) join g using (qid) where asks union all select g.qid, pos, doc_id from g join contexts using (conv_id) where not asks),
+gold as (select g.qid, doc_id from g join contexts using (conv_id) where pos % 2 = 1), n as (select qid, count(*) n, count(*) filter (exists (select 1 from ev where ev.qid = gold.qid and ev.doc_id = gold.doc_id)) hit from gold group by qid)
+select g.qid, case when asks then 'generation' else 'verification' end "mode", sha256(case when asks then s.answer else g.answer end) answer_sha256, coalesce((select string_agg(doc_id::varchar, ',' order by o) from ev where ev.qid = g.qid), '') evidence_ids, round(hit::double / n, 4) evidence_recall
+from g left join said_all s on s.qid = g.qid left join n on n.qid = g.qid"""
+
+
+@query(MODES_SQL)
+def generation_run(spark, d):
+    """Two of three turns lose their answer and are answered anew; the odd passages of a conversation are the ones to find."""
+    samples = responses(spark, d).withColumn("answer", F.when(F.col("qid") % 3 == 0, F.col("answer")))
+    pool = contexts(spark, d).withColumn("id", F.col("doc_id").cast("string"))
+    told = generation.answered(samples, pool, REFUSAL, group="conv_id")
+    gold = pool.where("pos % 2 = 1").groupBy("conv_id").agg(F.collect_list("id").alias("gold"))
+    rows = told.join(samples.select("qid", "conv_id"), "qid").join(gold, "conv_id", "left")
+    ids = F.transform("evidence", lambda c: c["id"])
+    return rows.select("qid", "mode", F.sha2("answer", 256).alias("answer_sha256"), F.array_join(ids, ",").alias("evidence_ids"), generation.evidence_recall(ids, F.col("gold")).alias("evidence_recall"))
+
+
 QUOTES_SQL = """asked as (select doc_id, r requirement, substr(text, a + 1, n) quote from documents, (select unnest(['r1', 'r1', 'r2']) r, unnest([20, 300, 120]) a, unnest([50, 40, 30]) n) q where length(text) >= a + n),
 walk as (select distinct doc_id, requirement, quote, strpos(text, quote) - 1 i from asked join documents using (doc_id) where contains(text, quote)
  union all select w.doc_id, requirement, quote, i + strpos(substr(text, i + 2), quote) from walk w join documents d on d.doc_id = w.doc_id where contains(substr(text, i + 2), quote)),

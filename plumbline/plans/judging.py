@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import ABSTENTION_PATTERNS, is_abstention
-from plumbline.operators import checks, evaluation, judges, measured, metrics, verdicts
+from plumbline.operators import checks, evaluation, experiments, judges, measured, metrics, verdicts
 from plumbline.operators.claims import split_claims
 from plumbline.plans.answers import RULE_SQL, responses, rule_verdicts
 from plumbline.plans.judged import ORDER_SCORES_SQL, PAIRS_SQL, SCORES_SQL, TOP_SQL, pairs, scores
@@ -94,6 +94,26 @@ def variant_changes(spark, d):
     return evaluation.change_report(changes, ["from_variant", "to_variant"])
 
 
+SWEEP = [*(f"{m}_k{k}" for m in experiments.METHODS for k in experiments.KS), "full_source", "full_chunked_source"]
+PAIRS_OF = experiments.sweep_comparisons()
+
+
+@query(f"""with o as (select o_orderkey id, o_custkey c, case o_orderstatus when 'F' then 'supported' when 'O' then 'conflict' else 'unsupported' end gold from orders),
+v as (select id pair_id, gold, variant, {NAMES_SQL}[(id * 7 + c * (i + 3) + i) % 3 + 1] pred from o, (select unnest({SWEEP}) variant, unnest(range({len(SWEEP)})) i) w),
+p as (select unnest({[a for a, _ in PAIRS_OF]}) f, unnest({[b for _, b in PAIRS_OF]}) t),
+h as (select f || '->' || t as name, x.gold, {CHANGE_SQL} change from p join v x on x.variant = f join v y on y.variant = t and y.pair_id = x.pair_id)
+select 'metric' part, variant as name, 'accuracy' item, round(count(*) filter (gold = pred)::double / count(*), 9) as value from v group by variant union all select 'change', name, change, count(*)::double from h group by name, change union all select 'change_by_gold', name, gold || '.' || change, count(*)::double from h group by name, gold, change""")
+def sweep_evaluation(spark, d):
+    """All thirteen comparisons of a sweep of k and every variant's accuracy, in one job."""
+    i, c = F.col("o_orderkey"), F.col("o_custkey")
+    gold = F.when(F.col("o_orderstatus") == "F", "supported").when(F.col("o_orderstatus") == "O", "conflict").otherwise("unsupported")
+    pick = lambda n: F.element_at(F.array(*map(F.lit, verdicts.LABELS)), (n % 3 + 1).cast("int"))
+    each = F.inline(F.array(*(F.struct(F.lit(v).alias("variant"), pick(i * 7 + c * (n + 3) + n).alias("pred")) for n, v in enumerate(SWEEP))))
+    rows = table(spark, d, "orders").select(i.alias("pair_id"), gold.alias("gold"), each)
+    told = evaluation.experiment_report(rows, PAIRS_OF).where("part <> 'metric' or item = 'accuracy'")
+    return told.withColumn("value", F.round("value", 9))
+
+
 @query(f"""with {VARIANTS_SQL}, p as (select unnest(['a', 'a', 'b']) f, unnest(['b', 'c', 'c']) t), h as (select f, t, x.pred <> y.pred flip, x.moved from p join v x on x.variant = f join v y on y.variant = t and y.pair_id = x.pair_id)
 select f from_variant, t to_variant, count(*) pairs, cast(count(*) filter (moved) as bigint) order_changed_pairs, count(*) filter (flip)::double / count(*) flip_rate_all, count(*) filter (flip and moved)::double / count(*) filter (moved) flip_rate_changed_order, cast(count(*) filter (flip and not moved) as bigint) identical_input_flips from h group by f, t""")
 def flip_rates(spark, d):
@@ -180,7 +200,7 @@ def judge_batches(spark, d):
     return judges.numbered_batches(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), "k", 64)
 
 
-RUN_SQL = """a as (select conv_id * 1000 + turn qid, text answer, lag(text) over (partition by conv_id order by turn) q, role from conversations),
+JUDGED_SQL = """a as (select conv_id * 1000 + turn qid, text answer, lag(text) over (partition by conv_id order by turn) q, role from conversations),
 r as (select qid, coalesce(answer, '') answer, coalesce(q, '') q, row_number() over (order by qid) - 1 as p, count(*) over () as n from a where role = 'assistant'),
 j as (select qid pair_id, 'b' || lpad(cast(p // 16 + 1 as varchar), 5, '0') batch_id, cast(least(16, n - p // 16 * 16) as integer) batch_size, length(answer) document_len, length(q) claim_len, ((length(answer) * 31 + length(q) * 17) % 1001) / 1000.0::double score from r)"""
 
@@ -198,12 +218,12 @@ def judged_turns(spark, d) -> DataFrame:
     return told.withColumns({"pred_label": F.when(F.col("score") >= 0.5, "supported").otherwise("unsupported"), "review_flag": F.col("score").between(0.3, 0.7)})
 
 
-@query(f"with {RUN_SQL} select pair_id, batch_id, batch_size, document_len, claim_len, score, case when score >= 0.5 then 'supported' else 'unsupported' end pred_label from j")
+@query(f"with {JUDGED_SQL} select pair_id, batch_id, batch_size, document_len, claim_len, score, case when score >= 0.5 then 'supported' else 'unsupported' end pred_label from j")
 def judged_run(spark, d):
     return judged_turns(spark, d).select("pair_id", "batch_id", "batch_size", "document_len", "claim_len", "score", "pred_label")
 
 
-@query(f"""with {RUN_SQL} select count(*) pairs, count(distinct batch_id) batches, count(*) filter (score >= 0.5) supported, count(*) filter (score < 0.5) unsupported, count(*) filter (score between 0.3 and 0.7) review_pairs,
+@query(f"""with {JUDGED_SQL} select count(*) pairs, count(distinct batch_id) batches, count(*) filter (score >= 0.5) supported, count(*) filter (score < 0.5) unsupported, count(*) filter (score between 0.3 and 0.7) review_pairs,
  min(score) score_min, max(score) score_max, cast(sum(document_len) as bigint) document_chars, cast(sum(claim_len) as bigint) claim_chars from j""")
 def run_account(spark, d):
     told = measured.write_results(judged_turns(spark, d), scratch(spark, "results"), ("supported", "unsupported"))
