@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import draw, terms
+from plumbline.sources.scratch import written
 
-#: Candidate vectors in one broadcast, about.
-DENSE_BLOCK = 1 << 16
+#: Vectors that meet in one task, about.
+DENSE_BLOCK = 1 << 12
 
 
 def bm25(queries: DataFrame, passages: DataFrame, tokens, *, group: str, numerator: float, k1: float, b: float = 0.75, least_length: float = 1.0, distinct_terms: bool, digits: int) -> DataFrame:
@@ -77,28 +76,56 @@ def exact_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return first.withColumn("drawn", F.row_number().over(Window.orderBy("drawn", key)))  # n rows
 
 
-def dense_topk(vectors: DataFrame, id_col: str, vector_col: str, k: int, digits: int = 4) -> DataFrame:
+def dense_topk(vectors: DataFrame, id_col: str, vector_col: str, k: int, digits: int = 4, block: int | None = None) -> DataFrame:
     """``qv``, ``id_col``, ``score`` and ``rank``: for every vector the ``k`` others with the highest rounded cosine; ties by id.
 
-    All vectors are ranked against all others.  Candidates are broadcast block
-    by block; a task keeps ``k`` of a block for each of its vectors, and the
-    blocks' best are merged.  Null vectors and those of length zero have no
-    cosine: they get no rows and are in none.
+    Exact, but not by all pairs.  Each vector is filed under the nearest of a few
+    pivots, and a pivot's vectors in blocks of about ``block``.  A vector first
+    meets its own block, which gives it ``k`` scores.  By the triangle
+    inequality of angles nothing filed under another pivot can beat the last of
+    these if that pivot is farther than this angle and the pivot's radius
+    together, so only blocks of the other pivots are searched.  Only pivots and
+    their radii, as many numbers as there are pivots, pass through the driver.
+    Rows without an id, null vectors and those of length zero have no cosine:
+    they get no rows and are in none.
     """
-    spark = vectors.sparkSession
-    v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.exists(v, lambda x: x != 0))
-    blocks = max(1, -(-rows.count() // DENSE_BLOCK))
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
-    parts = []
-    for b in range(blocks):
-        block = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow().sort_by("id")
-        if block.num_rows:
-            shared = spark.sparkContext.broadcast((block["id"].to_numpy(), _unit(block["v"])))
-            parts.append(dealt.mapInArrow(_nearest(shared, k, digits, ["qv", id_col, "score"]), f"qv long, {id_col} long, score double"))
-    best = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], f"qv long, {id_col} long, score double")
+    spark, block = vectors.sparkSession, block or DENSE_BLOCK
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.exists("v", lambda x: x != 0))
+    rows = written(rows, "vectors")
+    count = max(1, min(MOST_PIVOTS, rows.count() // block))
+    pivots = _unit(rows.orderBy(F.xxhash64("id"), "id").limit(count).select("v").toArrow()["v"]) if count > 1 else None
+    filed = rows.mapInArrow(_filed(pivots), "id long, v array<double>, cell int, angle double")
+    filed = written(filed, "filed")
+    cells = [r.asDict() for r in filed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()]  # a row for each pivot
+    parts = spark.createDataFrame([(c["cell"], -(-c["n"] // block)) for c in cells] or [(0, 1)], "cell int, subs int")
+    filed = filed.join(F.broadcast(parts), "cell").withColumn("sub", F.pmod(F.xxhash64("id", F.lit(1)), F.col("subs")).cast("int"))
+    result = f"qv long, {id_col} long, score double"
+    names = ["qv", id_col, "score"]
+    own = filed.select("id", "v", "cell", "sub").groupBy("cell", "sub").applyInArrow(lambda t: _nearest(t, t, k, digits, names), result)
+    if len(cells) == 1 and cells[0]["n"] <= block:
+        found = own
+    else:
+        own = written(own, "own-blocks")
+        least = own.groupBy(F.col("qv").alias("__q")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        asked = filed.join(least, F.col("id") == F.col("__q"), "left").select("id", "v", "cell", "sub", "least")
+        radii = {c["cell"]: c["radius"] for c in cells}
+        wanted = asked.mapInArrow(_wanted(pivots, radii, 10.0**-digits), "id long, v array<double>, own int, own_sub int, cell int")
+        wanted = wanted.join(F.broadcast(parts), "cell").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).where((F.col("cell") != F.col("own")) | (F.col("sub") != F.col("own_sub")))
+        wanted = written(wanted.select("id", "v", "cell", "sub"), "wanted")
+        many = wanted.groupBy("cell", "sub").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+        many = written(many, "chunks")
+        left = wanted.join(many, ["cell", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int")).select("id", "v", "cell", "sub", "chunk")
+        right = filed.join(many, ["cell", "sub"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("id", "v", "cell", "sub", "chunk")
+        keys = ["cell", "sub", "chunk"]
+        found = own.unionByName(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _nearest(a, b, k, digits, names), result))
     rank = F.row_number().over(Window.partitionBy("qv").orderBy(F.desc("score"), id_col))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+#: Pivots at most: their vectors go to every task.
+MOST_PIVOTS = 1024
+#: Angles are compared with this much room for rounding.
+SLACK = 1e-6
 
 
 def _unit(lists) -> np.ndarray:
@@ -107,20 +134,68 @@ def _unit(lists) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _nearest(shared, k: int, digits: int, names: list[str]):
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1, 1))
+
+
+def _filed(pivots: np.ndarray | None):
+    """Rows with their nearest pivot and the angle to it."""
     def run(batches):
-        ids, units = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):  # bounds the scores held at once
-                part = batch.slice(start, 64)
-                asked = part.column(0).to_numpy()
-                scores = np.rint(_unit(part.column(1)) @ units.T * 10**digits)
-                scores[asked[:, None] == ids] = -np.inf
-                least = np.partition(scores, max(len(ids) - k, 0), axis=1)[:, max(len(ids) - k, 0)]
-                best = [x[np.argsort(-s[x], kind="stable")][:k] for s, x in ((s, np.flatnonzero((s >= m) & (s > -np.inf))) for s, m in zip(scores, least))]
-                n = [len(x) for x in best]
-                at = np.concatenate(best)
-                got = scores[np.repeat(np.arange(len(n)), n), at] / 10**digits
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n)), pa.array(ids[at]), pa.array(got)], names=names)
+            if not batch.num_rows:
+                continue
+            angles = _angles(_unit(batch.column(1)), pivots) if pivots is not None else np.zeros((batch.num_rows, 1))
+            cell = angles.argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell])], names=["id", "v", "cell", "angle"])
 
     return run
+
+
+def _wanted(pivots: np.ndarray | None, radii: dict[int, float], step: float):
+    """A row for each vector and pivot under which something may be as near as the vector's last score (all of them where it has too few)."""
+    cells = np.array(sorted(radii))
+    reach = np.array([radii[c] for c in cells.tolist()])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            least = batch.column(4).to_numpy(zero_copy_only=False).astype(float)
+            angles = _angles(_unit(batch.column(1)), pivots)[:, cells] if pivots is not None else np.zeros((batch.num_rows, 1))
+            worst = np.arccos(np.clip(np.nan_to_num(least - step, nan=-1.0), -1, 1))
+            row, at = np.nonzero(angles - reach <= worst[:, None] + SLACK)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(4)), pa.array(cells[at].astype(np.int32))], names=["id", "v", "own", "own_sub", "cell"])
+
+    return run
+
+
+def _nearest(asked: pa.Table, pool: pa.Table, k: int, digits: int, names: list[str]) -> pa.Table:
+    """For each asked vector its ``k`` best of the pool; the pool's rows of its own id are not among them."""
+    pool = pool.sort_by("id")
+    ids, units = pool["id"].to_numpy(), _unit(pool["v"]) if pool.num_rows else None
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for start in range(0, asked.num_rows if pool.num_rows else 0, 64):  # bounds the scores held at once
+        part = asked.slice(start, 64)
+        mine = part["id"].to_numpy()
+        scores = np.rint(_unit(part["v"]) @ units.T * 10**digits)
+        scores[mine[:, None] == ids] = -np.inf
+        least = np.partition(scores, max(len(ids) - k, 0), axis=1)[:, max(len(ids) - k, 0)]
+        best = [x[np.argsort(-s[x], kind="stable")][:k] for s, x in ((s, np.flatnonzero((s >= m) & (s > -np.inf))) for s, m in zip(scores, least))]
+        n = [len(x) for x in best]
+        at = np.concatenate(best)
+        out.append((np.repeat(mine, n), ids[at], scores[np.repeat(np.arange(len(n)), n), at] / 10**digits))
+    return pa.table([np.concatenate(c) for c in zip(*out)], names=names)
+
+
+def pool_ranking(queries: DataFrame, passages: DataFrame, group: str, vector_col: str = "vector", digits: int = 4) -> DataFrame:
+    """``qid``, ``pos``, ``score`` and ``rank`` of every passage of a query's own pool by the rounded cosine; ties by place.
+
+    ``queries`` has qid, ``group`` and a vector, ``passages`` has ``group``, pos
+    and a vector.  A null vector or one of length zero scores 0.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    v = F.col(vector_col).cast("array<double>")
+    a = queries.select("qid", group, v.alias("a")).withColumn("na", F.sqrt(dot(F.col("a"), F.col("a"))))
+    b = passages.select(group, "pos", v.alias("b")).withColumn("nb", F.sqrt(dot(F.col("b"), F.col("b"))))
+    score = F.coalesce(F.round(F.try_divide(dot(F.col("a"), F.col("b")), F.col("na") * F.col("nb")), digits), F.lit(0.0))
+    return ranked(a.join(b, group).select("qid", "pos", score.alias("score")))

@@ -258,3 +258,11 @@ def negation_by_line(spark, d):
 def dense_rank_topk(spark, d):
     """Every vector's five nearest of the whole table."""
     return ranking.dense_topk(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
+
+
+@query("""with q as (select vec_id qid, label grp, embedding::double[] v from embeddings where vec_id % 20 = 0), p as (select label grp, vec_id pos, embedding::double[] v from embeddings)
+select qid, pos, round(list_cosine_similarity(q.v, p.v), 4) score, cast(row_number() over (partition by qid order by round(list_cosine_similarity(q.v, p.v), 4) desc, pos) as integer) rank from q join p using (grp)""")
+def dense_pool_ranking(spark, d):
+    """Every twentieth vector ranks the pool that its label names."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("vec_id").alias("pos"), "label", F.col("embedding").alias("vector"))
+    return ranking.pool_ranking(rows.where("qid % 20 = 0"), rows, "label")

@@ -9,7 +9,7 @@ from plumbline.plans import answers, catalog, evidence
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("block", [ranking.DENSE_BLOCK, 60])  # one broadcast, and several
+@pytest.mark.parametrize("block", [ranking.DENSE_BLOCK, 60])  # one block, and several
 def test_every_vector_meets_all_others(spark, monkeypatch, block):
     monkeypatch.setattr(ranking, "DENSE_BLOCK", block)
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
