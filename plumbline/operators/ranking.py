@@ -91,34 +91,33 @@ def dense_topk(vectors: DataFrame, id_col: str, vector_col: str, k: int, digits:
     """
     spark, block = vectors.sparkSession, block or DENSE_BLOCK
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.exists("v", lambda x: x != 0))
+    result, names = f"qv long, {id_col} long, score double", ["qv", id_col, "score"]
+    rank = F.row_number().over(Window.partitionBy("qv").orderBy(F.desc("score"), id_col))
     rows = written(rows, "vectors")
-    count = max(1, min(MOST_PIVOTS, rows.count() // block))
+    total = rows.count()
+    if total <= block:  # one pivot with one block
+        return rows.withColumn("cell", F.lit(0)).groupBy("cell").applyInArrow(lambda t: _nearest(t, t, k, digits, names), result).withColumn("rank", rank)
+    count = max(1, min(MOST_PIVOTS, total // block))
     pivots = _unit(rows.orderBy(F.xxhash64("id"), "id").limit(count).select("v").toArrow()["v"]) if count > 1 else None
     filed = rows.mapInArrow(_filed(pivots), "id long, v array<double>, cell int, angle double")
     filed = written(filed, "filed")
     cells = [r.asDict() for r in filed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()]  # a row for each pivot
-    parts = spark.createDataFrame([(c["cell"], -(-c["n"] // block)) for c in cells] or [(0, 1)], "cell int, subs int")
+    parts = spark.createDataFrame([(c["cell"], -(-c["n"] // block)) for c in cells], "cell int, subs int")
     filed = filed.join(F.broadcast(parts), "cell").withColumn("sub", F.pmod(F.xxhash64("id", F.lit(1)), F.col("subs")).cast("int"))
-    result = f"qv long, {id_col} long, score double"
-    names = ["qv", id_col, "score"]
     own = filed.select("id", "v", "cell", "sub").groupBy("cell", "sub").applyInArrow(lambda t: _nearest(t, t, k, digits, names), result)
-    if len(cells) == 1 and cells[0]["n"] <= block:
-        found = own
-    else:
-        own = written(own, "own-blocks")
-        least = own.groupBy(F.col("qv").alias("__q")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-        asked = filed.join(least, F.col("id") == F.col("__q"), "left").select("id", "v", "cell", "sub", "least")
-        radii = {c["cell"]: c["radius"] for c in cells}
-        wanted = asked.mapInArrow(_wanted(pivots, radii, 10.0**-digits), "id long, v array<double>, own int, own_sub int, cell int")
-        wanted = wanted.join(F.broadcast(parts), "cell").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).where((F.col("cell") != F.col("own")) | (F.col("sub") != F.col("own_sub")))
-        wanted = written(wanted.select("id", "v", "cell", "sub"), "wanted")
-        many = wanted.groupBy("cell", "sub").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
-        many = written(many, "chunks")
-        left = wanted.join(many, ["cell", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int")).select("id", "v", "cell", "sub", "chunk")
-        right = filed.join(many, ["cell", "sub"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("id", "v", "cell", "sub", "chunk")
-        keys = ["cell", "sub", "chunk"]
-        found = own.unionByName(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _nearest(a, b, k, digits, names), result))
-    rank = F.row_number().over(Window.partitionBy("qv").orderBy(F.desc("score"), id_col))
+    own = written(own, "own-blocks")
+    least = own.groupBy(F.col("qv").alias("__q")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    asked = filed.join(least, F.col("id") == F.col("__q"), "left").select("id", "v", "cell", "sub", "least")
+    radii = {c["cell"]: c["radius"] for c in cells}
+    wanted = asked.mapInArrow(_wanted(pivots, radii, 10.0**-digits), "id long, v array<double>, own int, own_sub int, cell int")
+    wanted = wanted.join(F.broadcast(parts), "cell").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).where((F.col("cell") != F.col("own")) | (F.col("sub") != F.col("own_sub")))
+    wanted = written(wanted.select("id", "v", "cell", "sub"), "wanted")
+    many = wanted.groupBy("cell", "sub").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+    many = written(many, "chunks")
+    left = wanted.join(many, ["cell", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), F.col("chunks")).cast("int")).select("id", "v", "cell", "sub", "chunk")
+    right = filed.join(many, ["cell", "sub"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("id", "v", "cell", "sub", "chunk")
+    keys = ["cell", "sub", "chunk"]
+    found = own.unionByName(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _nearest(a, b, k, digits, names), result))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
