@@ -163,14 +163,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
     rows.write.options(**options).orc(path)
 
 
-def read_ids(spark: SparkSession, path: str, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:
-    """What ``write_ids`` wrote; a filter on ``id_col`` is pushed to stripes and row groups."""
-    return spark.read.schema(SCHEMA.format(id_type=id_type).replace("key", id_col, 1)).orc(path)
+def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """What ``write_ids`` wrote; a filter on ``id_col`` is pushed to stripes and row groups.
+
+    The id's type is that in the files, whatever type it had when written.
+    """
+    stored = spark.read.orc(path).schema[id_col].dataType.simpleString()
+    return spark.read.schema(SCHEMA.format(id_type=stored).replace("key", id_col, 1)).orc(path)
 
 
-def lookup(spark: SparkSession, path: str, ids: list[int], id_col: str = "doc_id") -> DataFrame:
-    """The rows of a few documents, by row indexes and Bloom filters."""
-    return read_ids(spark, path, id_col=id_col).where(F.col(id_col).isin(ids))
+def lookup(spark: SparkSession, path: str, ids: list, id_col: str = "doc_id") -> DataFrame:
+    """The rows of a few documents, by row indexes and Bloom filters; ``ids`` are of the type that is stored."""
+    return read_ids(spark, path, id_col).where(F.col(id_col).isin(ids))
 
 
 def _checksums(batches):
