@@ -76,6 +76,26 @@ def document_passages(document: Column) -> Column:
     return F.when(marked.startswith("\u0001"), read)
 
 
+def passages_of(document: Column, ids: Column) -> Column:
+    """(id, text) of the passages of ``document_of``'s document, walked by its ids; null where ids and document do not agree.
+
+    Lines of a passage that look like a header of another id cut nothing.
+    """
+    heads = F.transform(ids, lambda x: F.concat(F.lit("[Evidence "), x, F.lit("]\n")))
+
+    def step(s, i):
+        mark = F.concat(F.lit("\n\n"), F.get(heads, i + 1))
+        body = F.substr(s["rest"], F.char_length(F.get(heads, i)) + 1)
+        text = F.when(mark.isNull(), body).otherwise(F.call_function("substring_index", body, mark, F.lit(1)))
+        sound = s["sound"] & F.startswith(s["rest"], F.get(heads, i)) & F.coalesce(F.contains(body, mark), F.lit(True))
+        read = F.struct(F.get(ids, i).alias("id"), text.alias("text"))
+        return F.struct(F.substr(body, F.char_length(text) + 3).alias("rest"), F.concat(s["read"], F.array(read)).alias("read"), sound.alias("sound"))
+
+    start = F.struct(document.alias("rest"), F.array().cast("array<struct<id:string,text:string>>").alias("read"), (F.size(ids) > 0).alias("sound"))
+    walked = F.aggregate(F.slice(F.sequence(F.lit(0), F.size(ids)), 1, F.size(ids)), start, step)
+    return F.when(walked["sound"], walked["read"])
+
+
 def overlap_details(spans: Column, start: Column, end: Column) -> Column:
     """How each overlapping span shares characters with [start, end)."""
     def told(s):

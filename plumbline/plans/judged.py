@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, evaluation, metrics, spans, verdicts
+from plumbline.operators import audit, checks, evaluation, metrics, spans, verdicts
 from plumbline.plans.registry import query
 from plumbline.session import table
 
@@ -66,8 +66,10 @@ def paired_changes(spark, d):
 
 @query(f"with {PAIRS_SQL} select g, count(*) as \"rows\", cast(sum((gold = pred)::int) as bigint) correct, cast(sum((gold <> 'supported')::int) as bigint) gold_positive, cast(sum((pred <> 'supported')::int) as bigint) predicted_positive, sum((gold = pred)::int)::double / count(*) accuracy from pairs group by g")
 def metrics_by_group(spark, d):
-    right = F.count_if(F.col("gold") == F.col("pred"))
-    return pairs(spark, d).groupBy("g").agg(F.count("*").alias("rows"), right.alias("correct"), F.count_if(F.col("gold") != "supported").alias("gold_positive"), F.count_if(F.col("pred") != "supported").alias("predicted_positive"), spans.ratio(right, F.count("*")).alias("accuracy"))
+    cells = metrics.confusion(pairs(spark, d), ["g"])
+    count = lambda rule: F.coalesce(F.sum(F.when(rule, F.col("n"))), F.lit(0))
+    positive = cells.groupBy("g").agg(count(F.col("gold") != "supported").alias("gold_positive"), count(F.col("pred") != "supported").alias("predicted_positive"))
+    return metrics.overall(cells, ["g"]).join(positive, "g").select("g", "rows", "correct", "gold_positive", "predicted_positive", "accuracy")
 
 
 SCORES_SQL = """s as (select l_orderkey * 10 + l_linenumber id, ((l_orderkey * 7919 + l_linenumber * 31) % 1000) / 1000.0::double e, ((l_partkey * 104729) % 1000) / 1000.0::double c, ((l_suppkey * 1299709) % 1000) / 1000.0::double p, l_linenumber from lineitem)"""
@@ -126,4 +128,4 @@ def result_violations(spark, d):
 def overlap_leakage(spark, d):
     lines = table(spark, d, "lineitem")
     part = lambda flag: lines.where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("k"))
-    return part("A").intersect(part("R"))
+    return audit.leakage(part("A"), part("R"), "k").select(F.col("key").cast("long").alias("k"))

@@ -59,7 +59,8 @@ def pair_evaluation(spark, d):
 
 @query(f"with {ROWS_SQL}, a as (select g, pred, id % 5 e from rows) select g, pred, e, count(*) n from a group by all")
 def category_counts(spark, d):
-    return judged_rows(spark, d).withColumn("e", F.col("id") % 5).groupBy("g", "pred", "e").agg(F.count("*").alias("n"))
+    rows = judged_rows(spark, d).withColumn("e", F.col("id") % 5)
+    return evaluation.value_counts(rows, "pred", ["g", "e"]).withColumnRenamed("value", "pred")
 
 
 AUDITED_SQL = f"""with {ROWS_SQL}, frozen as (select id, case when id % 11 = 0 then 'conflict' else gold end audited from rows where id % 4 <> 0), a as (select r.g, f.audited gold, r.pred from rows r join frozen f using (id))

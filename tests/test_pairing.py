@@ -88,3 +88,15 @@ def test_long_answers_with_many_statements(spark):
     assert {tuple(r)[1:] for r in told} == {(11_000, 22 * 10_999, 1, 6)} and len(told) == 10
     generate = found._jdf.queryExecution().optimizedPlan().toString()
     assert "document#" not in generate.split("Generate inline")[0]
+
+
+def test_a_document_is_walked_by_its_ids(spark):
+    texts = [("a", "one\n\n[Evidence x]\ntwo"), ("b c", "[Evidence of]\nsorts"), ("d", "")]
+    document, ids = pairs.document_of(F.col("c"))
+    df = spark.createDataFrame([(texts,), ([("x", "y")],), ([(None, "y"), ("", " z ")],)], "c array<struct<id:string,text:string>>")
+    rows = df.select(document.alias("d"), ids.alias("i"))
+    got = [r[0] for r in rows.select(pairs.passages_of(F.col("d"), F.col("i"))).collect()]
+    assert [[tuple(p) for p in g] for g in got] == [texts, [("x", "y")], [("passage_1", "y"), ("passage_2", "z")]]
+    wrong = rows.select(pairs.passages_of(F.col("d"), F.reverse("i"))).collect()
+    assert [r[0] is None for r in wrong] == [True, False, True]
+    assert spark.range(1).select(pairs.passages_of(F.lit("plain"), F.array(F.lit("a")))).first()[0] is None
