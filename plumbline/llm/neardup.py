@@ -214,10 +214,11 @@ def components(edges: DataFrame) -> DataFrame:
         was = now
 
 
-def groups(prints: DataFrame, id_col: str) -> DataFrame:
+def groups(prints: DataFrame, id_col: str, *_) -> DataFrame:
     """``fp`` and ``component_id`` (the smallest id of its component) of each fingerprint in ``prints``.
 
-    Null ids count only where a component has no other; then it is null.
+    Null ids count only where a component has no other; then it is null.  The
+    texts themselves, which other kinds of groups look at, play no part.
     """
     nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("low")), "nodes")
     roots = components(links(nodes.select("fp")))
@@ -242,14 +243,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints_of=fingerprints, groups_of=groups) -> DataFrame:
     """The row with the smallest id of each near-duplicate group, with all its columns.
 
-    ``prints_of`` and ``groups_of`` say what a group is.  Of rows that share id
+    ``prints_of`` and ``groups_of`` (of fingerprints, id, ``docs`` and text) say
+    what a group is.  Of rows that share id
     and fingerprint one stays, that with the smallest text and then the smallest
     JSON; rows that share an id but not the group are told apart by their
     fingerprints.  A group without any id keeps one row.  An empty table gives
     none.
     """
     prints = written(prints_of(docs, id_col, text_col), "fingerprints")
-    wins = prints.join(groups_of(prints, id_col), "fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    wins = prints.join(groups_of(prints, id_col, docs, text_col), "fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
     wins = written(wins.groupBy(id_col, "fp").count(), "first")
     ids = prints.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("rows"))
     again = written(ids.where("rows > 1 or id is null").select("id"), "repeated-ids")
