@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import ABSTENTION_PATTERNS, ENGLISH_STOPWORDS, NEGATIVE_WORDS, STOPWORDS, evidence_document, has_negative, light_token_count, strip, terms, words
 from plumbline.operators import audit, checks, generation, ranking, spans, verdicts
-from plumbline.operators.chunks import chunked
+from plumbline.operators.chunks import LIMIT, chunked
 from plumbline.operators.claims import SPLIT_SQL, split_claims
 from plumbline.plans.registry import query
 from plumbline.session import table
@@ -243,7 +243,35 @@ def audit_freeze(spark, d):
     return audit.frozen(pairs, decisions, overrides, "doc_id").select("doc_id", "gold")
 
 
-@query()
+#: White space as Python's regular expressions have it, within a class.
+SPACE_SQL = r"\s\p{Z}\x0b\x1c-\x1f\x85"
+#: Packed chunks of ``documents``: tokens with their places, sentences, those over the limit cut before words, and whole units walked over.
+CHUNKS_SQL = r"""with recursive docs as (select doc_id, text from documents where text is not null),
+found as (select doc_id, regexp_extract_all(text, '[@SPACE]*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_@SPACE])') whole from docs),
+measured as (select doc_id, unnest([length(x) for x in whole]) l, unnest([length(regexp_replace(x, '^[@SPACE]+', '')) for x in whole]) size, generate_subscripts(whole, 1) i from found),
+tokens as (select doc_id, i, cast(e - size as bigint) s, cast(e as bigint) e from (select *, sum(l) over (partition by doc_id order by i) e from measured)),
+cut_texts as (select doc_id, string_split(regexp_replace(regexp_replace(replace(text, chr(1), '!'), '([.!?。！？])([@SPACE])', '\1' || chr(1) || '\2', 'g'), '\n', chr(10) || chr(1), 'g'), chr(1)) xs from docs),
+pieces as (select doc_id, unnest(xs) x, generate_subscripts(xs, 1) i from cut_texts),
+placed as (select *, sum(length(x)) over (partition by doc_id order by i) e from pieces),
+sentences as (select doc_id, cast(e - length(regexp_replace(x, '^[@SPACE]+', '')) as bigint) a, cast(e - length(x) + length(regexp_replace(x, '[@SPACE]+$', '')) as bigint) b from placed where regexp_matches(x, '[^@SPACE]')),
+reached as (select x.*, f.s far from (select s.*, coalesce(t.i, 0) + @LIMIT - 1 beyond from sentences s asof left join tokens t on s.doc_id = t.doc_id and s.a >= t.e) x left join tokens f on x.doc_id = f.doc_id and x.beyond = f.i),
+long as (select doc_id, a, b from reached where far < b),
+word_runs as (select doc_id, unnest(regexp_extract_all(text, '[@SPACE]*[^@SPACE]+')) x, generate_subscripts(regexp_extract_all(text, '[@SPACE]*[^@SPACE]+'), 1) i from docs where doc_id in (select doc_id from long)),
+words as (select doc_id, list(e - length(regexp_replace(x, '^[@SPACE]+', '')) order by i) words from (select *, sum(length(x)) over (partition by doc_id order by i) e from word_runs) group by doc_id),
+rulers as (select w.doc_id, words, starts, ends from words w join (select doc_id, list(s order by i) starts, list(e order by i) ends from tokens where doc_id in (select doc_id from long) group by doc_id) t on w.doc_id = t.doc_id),
+cuts as (select doc_id, a, b, a stop from long union all
+  select doc_id, stop, b, case when coalesce(far, b) >= b then b when word > stop then word else greatest(far, stop + 1) end
+  from (select *, list_max([w for w in words if w <= far]) word from (select c.doc_id, c.stop, c.b, r.words, r.starts[len([e for e in r.ends if e <= c.stop]) + @LIMIT - 1] far from cuts c join rulers r on c.doc_id = r.doc_id where c.stop < c.b))),
+units as (select *, row_number() over (partition by doc_id order by a) no, count(*) over (partition by doc_id) n from (select doc_id, a, b from reached where far is null or far >= b union all select doc_id, a, stop from cuts where stop > a)),
+fars as (select u.*, f.s far from (select u.*, coalesce(t.i, 0) before from units u asof left join tokens t on u.doc_id = t.doc_id and u.a >= t.e) u left join tokens f on u.doc_id = f.doc_id and u.before + @LIMIT - 1 = f.i),
+lasts as (select f.doc_id, f.no, f.n, f.a, f.before, case when f.far is null then f.n else greatest(f.no, coalesce(u.no, 0)) end last from fars f asof left join units u on f.doc_id = u.doc_id and f.far >= u.b),
+packed as (select doc_id, 0 chunk_no, no, n, a, before, last from lasts where no = 1 union all
+  select p.doc_id, p.chunk_no + 1, l.no, l.n, l.a, l.before, l.last from packed p join lasts l on p.doc_id = l.doc_id and l.no = case when p.last = p.no then p.last + 1 else p.last end where p.last < p.n),
+ended as (select p.*, u.b from packed p join units u on p.doc_id = u.doc_id and p.last = u.no)
+select p.doc_id, cast(chunk_no as integer) chunk_no, cast(a as integer) start, cast(b as integer) "end", cast(2 + greatest(0, coalesce(t.i, 0) - before) as integer) token_count from ended p asof left join tokens t on p.doc_id = t.doc_id and p.b > t.s""".replace("@SPACE", SPACE_SQL)
+
+
+@query(CHUNKS_SQL.replace("@LIMIT", str(LIMIT)))
 def chunk_pack(spark, d):
     return chunked(table(spark, d, "documents"), "doc_id", "text").drop("text")
 
