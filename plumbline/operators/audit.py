@@ -108,6 +108,19 @@ def challenge(responses: DataFrame, kind: str = "Conflict") -> DataFrame:
     return responses.where(F.exists("gold_spans", lambda s: F.contains(s["label_type"], F.lit(kind))))
 
 
+def count_violations(rows: DataFrame, by: str, expected: DataFrame) -> DataFrame:
+    """Sets (values of ``by``, also a null) whose rows are not as many as ``expected`` (``by``, ``n``) says.
+
+    A set that only one side has counts none on the other.  Only a count for
+    each set is compared; the key is the set with both counts.
+    """
+    have = rows.groupBy(by).agg(F.count("*").alias("have")).select(by, "have", F.lit(0).cast("long").alias("want"))
+    want = expected.select(by, F.lit(0).cast("long").alias("have"), F.coalesce("n", F.lit(0)).cast("long").alias("want"))
+    both = have.unionByName(want).groupBy(by).agg(F.sum("have").alias("have"), F.sum("want").alias("want")).where("have <> want")
+    told = F.concat(F.coalesce(F.col(by).cast("string"), F.lit("null")), F.lit(": "), "have", F.lit(" of "), "want")
+    return both.select(F.lit("count").alias("rule"), told.alias("key"))
+
+
 def decision_violations(pairs: DataFrame, decisions: DataFrame, signed: bool = False) -> DataFrame:
     """What keeps decisions from being used: pairs left out or decided twice, changed fields, labels, reasons, sign-off."""
     fields = [f for f in ("qid", "source_id", "claim", "claim_start", "claim_end") if f in pairs.columns and f in decisions.columns]

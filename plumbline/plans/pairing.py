@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import passages
-from plumbline.operators import pairs
+from plumbline.operators import audit, pairs
 from plumbline.operators.claims import SPLIT_SQL, split_claims
 from plumbline.operators.evaluation import response_report
 from plumbline.plans.answers import SPANS_SQL, STRIP_SQL, gold_spans
@@ -129,3 +129,14 @@ def response_evaluation(spark, d):
     said, gold = F.size("predicted_spans") > 0, F.coalesce(F.size("gold_spans"), F.lit(0)) > 0
     rows = rows.select(F.col("doc_id").alias("qid"), F.col("lang").alias("generator_model"), gold.alias("gold_hallucinated"), said.alias("predicted_hallucinated"), "predicted_spans", "gold_spans", F.array(F.when(said, "unsupported").otherwise("supported")).alias("pred_labels"))
     return response_report(rows)
+
+
+@query("with " + SPANS_SQL + """,
+c as (select source, doc_id from documents where doc_id in (select doc_id from spans where contains(label_type, 'Conflict'))),
+h as (select source, count(*) have from c group by source), w as (select source, count(*) want from documents join labels using (doc_id) where toxic = 1 and doc_id % 97 <> 0 group by source)
+select 'count' as rule, coalesce(source, 'null') || ': ' || coalesce(have, 0) || ' of ' || coalesce(want, 0) as key from h full join w using (source) where coalesce(have, 0) <> coalesce(want, 0)""")
+def challenge_counts(spark, d):
+    """The challenge set by source against the counts of labels that lost some documents."""
+    known = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").where("toxic = 1"), "doc_id").where("doc_id % 97 <> 0")
+    expected = known.groupBy("source").agg(F.count("*").alias("n"))
+    return audit.count_violations(audit.challenge(document_responses(spark, d)), "source", expected)

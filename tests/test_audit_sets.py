@@ -62,3 +62,13 @@ def test_sets_that_share_rows(spark):
     kind = "qid int, gold_spans array<struct<label_type:string>>"
     rows = spark.createDataFrame([(1, [("Subtle Conflict",)]), (2, [("Evident Baseless Info",)]), (3, [])], kind)
     assert [r.qid for r in audit.challenge(rows).collect()] == [1]
+
+
+def test_counts_of_sets(spark):
+    rows = spark.createDataFrame([("test",), ("test",), ("challenge",), (None,)], "part string")
+    expected = spark.createDataFrame([("test", 2), ("challenge", 3), ("dev", 1), ("none", 0)], "part string, n int")
+    told = lambda a, b: {(r.rule, r.key) for r in audit.count_violations(a, "part", b).collect()}
+    assert told(rows, expected) == {("count", "challenge: 1 of 3"), ("count", "dev: 0 of 1"), ("count", "null: 1 of 0")}
+    assert told(rows.where("part = 'test'"), expected.where("part in ('test', 'none')")) == set()
+    with pytest.raises(ValueError):
+        checks.enforce(audit.count_violations(rows, "part", expected))
