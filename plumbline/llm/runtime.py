@@ -13,23 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from plumbline.sources.scratch import scratch, shared_dir, written  # noqa: F401  the operators take them from here
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Set how much goes to a Python worker at once: executors' memory outside the heap follows it.
-
-    Ten thousand rows, the default, can be gigabytes of text.
-    """
-    conf = spark.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-#: Rows and bytes in an Arrow batch.
-BATCH_ROWS = 1000
-BATCH_BYTES = 4 << 20
+from plumbline.functions.arrow import BATCH_BYTES, BATCH_ROWS, bounded_batches  # noqa: F401  the operators take them from here
+from plumbline.sources.scratch import scratch, shared_dir, written  # noqa: F401  and these
 
 
 def release() -> None:

@@ -9,10 +9,16 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.arrow import bounded_batches, text_slices
+
+#: Bytes of text that are encoded at once: a token's encoding takes some hundred bytes.
+SLICE_BYTES = 1 << 19
+
 
 @lru_cache(4)
 def _encoder(path: str):
@@ -25,17 +31,29 @@ def _encoder(path: str):
     return found
 
 
-def token_ends(texts: DataFrame, key: str, text: str, tokenizer_path: str, most: int) -> DataFrame:
-    """``key``, ``tokens`` (all) and ``ends`` (of the first ``most``, in characters) of each text; a null is empty."""
-    kind = texts.schema[key].dataType.simpleString()
-
+def _ends(tokenizer_path: str, most: int):
+    """From rows (key, text): the key, the text's tokens and the ends of the first ``most``."""
     def run(batches):
-        for batch in batches:
-            rows = [e.offsets for e in _encoder(tokenizer_path).encode_batch([t or "" for t in batch.column(1).to_pylist()], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, rows), pa.int64()), pa.array([[b for _, b in r[:most]] for r in rows], pa.list_(pa.int32()))], names=["k", "tokens", "ends"])
+        for part in text_slices(batches, 1, SLICE_BYTES):
+            tokens, ends = [], []
+            for e in _encoder(tokenizer_path).encode_batch([t or "" for t in part.column(1).to_pylist()], add_special_tokens=False):
+                tokens.append(len(e))
+                ends.append(pa.array([b for _, b in e.offsets[:most]], pa.int32()))
+            starts = pa.array(np.r_[0, np.cumsum([len(x) for x in ends])].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(starts, pa.concat_arrays(ends))], names=["k", "tokens", "ends"])
+
+    return run
 
+
+def token_ends(texts: DataFrame, key: str, text: str, tokenizer_path: str, most: int) -> DataFrame:
+    """``key``, ``tokens`` (all) and ``ends`` (of the first ``most``, in characters) of each text; a null is empty.
+
+    A worker holds the encodings of ``SLICE_BYTES`` of text (or of one text), however many rows come at once.
+    """
+    bounded_batches(texts.sparkSession)
+    kind = texts.schema[key].dataType.simpleString()
     rows = texts.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"k {kind}, tokens long, ends array<int>").withColumnRenamed("k", key)
+    return rows.mapInArrow(_ends(tokenizer_path, most), f"k {kind}, tokens long, ends array<int>").withColumnRenamed("k", key)
 
 
 def kept(first: Column, second: Column, room: int) -> tuple[Column, Column]:

@@ -4,6 +4,7 @@ import json
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -76,3 +77,26 @@ def test_objects_as_text(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text("[1]\n")
     with pytest.raises(Exception, match="not an object"):
         jsonl.read_sources(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_many_texts_are_encoded_slice_by_slice(monkeypatch):
+    sizes = []
+
+    class Encoder:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch(self, texts, **kwargs):
+            sizes.append((len(texts), sum(len(t.encode()) for t in texts)))
+            return self.inner.encode_batch(texts, **kwargs)
+
+    inner = truncation._encoder(PATH)
+    monkeypatch.setattr(truncation, "_encoder", lambda path: Encoder(inner))
+    texts = [None, "", *("é word " * n for n in (1, 9000, 90000, 3, 50000)), *(["some words"] * 3000)]
+    batch = pa.record_batch({"k": list(range(len(texts))), "t": pa.array(texts, pa.string())})
+    got = pa.Table.from_batches(truncation._ends(PATH, 20)([batch])).to_pydict()
+    assert all(n == 1 or size <= 1 << 19 for n, size in sizes) and len(sizes) == 3
+    assert got["k"] == list(range(len(texts)))
+    for t, n, ends in zip(texts, got["tokens"], got["ends"]):
+        e = inner.encode(t or "", add_special_tokens=False)
+        assert n == len(e.ids) and ends == [b for _, b in e.offsets[:20]]
