@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.arrow import bounded_batches
+
 #: A cut is safe if so many characters follow it that no rule of the tokenizer can look past them.
 MARGIN = 16
 #: Characters of a head at least.
@@ -107,6 +109,7 @@ def cutter(path: str) -> Cutter:
 
 def profiles(chunks: DataFrame, keys: list[str], text: str, tokenizer_path: str) -> DataFrame:
     """``keys`` and the ``profile`` of each chunk, cut once wherever it is tried later; a null text is empty."""
+    bounded_batches(chunks.sparkSession)
     kinds = [f"k{i} {chunks.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)]
     names = [f"k{i}" for i in range(len(keys))]
 
@@ -156,6 +159,7 @@ def exact_choice(scored: DataFrame, tokenizer_path: str, budget: int = 512, k: i
     one after the other and are never held together.  A pool with a score that is
     no finite number has status ``bad_score`` and chooses nothing.
     """
+    bounded_batches(scored.sparkSession)
     keys, kinds = ("qid", "variant"), {c: scored.schema[c].dataType.simpleString() for c in ("qid", "variant")}
     names = [*keys, "candidates", "input_tokens", "chosen", "status"]
     result = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.arrow import bounded_batches
+
 CUT, DOT = "\u0001", "\u0002"
 # Fixed values.
 ABBREVIATIONS = "dr|mr|mrs|ms|prof|sr|jr|e\\.g|i\\.e|vs|no|fig|approx"
@@ -45,6 +47,7 @@ def split_claims(df: DataFrame, key: str, text_col: str, long_tokens: int = LONG
     ``start`` and ``end``: each statement then has ``spans``, those that share a
     place with it, in their order, found by binary searches.
     """
+    bounded_batches(df.sparkSession)
     segments = F.split(marked(F.col(text_col)), CUT)
     if spans:
         end = lambda name: F.coalesce(F.transform(spans, lambda s: s[name].cast("int")), F.array().cast("array<int>"))
