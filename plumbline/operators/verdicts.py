@@ -16,15 +16,15 @@ def rule_verdicts(claims: DataFrame, contexts: DataFrame, group: str) -> DataFra
     """``label`` and the best context's ``pos`` of each claim (``claim_id``, ``group``, ``claim``).
 
     The best context covers most of the claim's terms; ties go to the first.
-    Claim terms meet context terms on (group, term), in place of long arrays.
+    Claims meet contexts on the group alone, by which both are dealt once; terms
+    stay in their rows, and what a claim shares is counted where the two meet.
     """
-    asked = claims.select("claim_id", group, F.explode(F.array_distinct(terms(F.col("claim")))).alias("term"))
-    offered = contexts.select(group, "pos", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    overlap = asked.join(offered, [group, "term"]).groupBy("claim_id", "pos").agg(F.count("*").alias("overlap"))
-    sizes = claims.withColumn("n_terms", F.size(F.array_distinct(terms(F.col("claim")))))
-    signs = contexts.select(group, "pos", has_negative(F.col("text")).alias("negative"))
-    scored = sizes.join(signs, group, "left").join(overlap, ["claim_id", "pos"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("overlap"), "pos"))).where("r = 1")
+    bag = lambda c: F.coalesce(F.array_distinct(terms(F.col(c))), F.array().cast("array<string>"))
+    asked = claims.withColumn("__asked", bag("claim")).withColumn("n_terms", F.size("__asked"))
+    offered = contexts.select(group, "pos", bag("text").alias("__offered"), has_negative(F.col("text")).alias("negative"))
+    shared = F.coalesce(F.size(F.array_intersect("__offered", "__asked")), F.lit(0)).cast("long")
+    scored = asked.join(offered, group, "left").withColumn("overlap", F.when(F.col("pos").isNull(), F.lit(0)).otherwise(shared)).drop("__asked", "__offered")
+    best = scored.withColumn("r", F.row_number().over(Window.partitionBy(group, "claim_id").orderBy(F.desc("overlap"), "pos"))).where("r = 1")
     coverage = F.col("overlap") / F.greatest(F.col("n_terms"), F.lit(1))
     label = (
         F.when(F.col("pos").isNull(), "unsupported").when(is_abstention(F.col("claim")), "supported").when(F.col("overlap") == 0, "unsupported")
