@@ -28,11 +28,12 @@ def responses(spark, d) -> DataFrame:
     return turns.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "conv_id", "query", F.col("text").alias("answer"))
 
 
-def contexts(spark, d) -> DataFrame:
+def contexts(spark, d, **more) -> DataFrame:
+    """All documents by conversation; ``more`` columns are computed before rows are dealt, so a text that only they need is not shuffled."""
     n = table(spark, d, "conversations").agg(F.count_distinct("conv_id").alias("n"))  # one row
     docs = table(spark, d, "documents").crossJoin(F.broadcast(n)).withColumn("conv_id", F.col("doc_id") % F.col("n"))
     pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("doc_id"))
-    return docs.withColumn("pos", pos).select("conv_id", "pos", "doc_id", "text")
+    return docs.withColumns(more).withColumn("pos", pos).select("conv_id", "pos", "doc_id", "text", *more)
 
 
 def gold_spans(spark, d) -> DataFrame:
