@@ -1,13 +1,16 @@
-"""SimHash near-duplicate groups at a set similarity of word shingles, each link checked exactly.
+"""SimHash near-duplicate groups at a set similarity of word shingles, found by pigeonring filtering, each link checked exactly.
 
 At a Jaccard similarity of 0.8 two SimHash fingerprints differ in about 15 % of
-their bits, far more than the four of 64 that exact pigeonring filing can
-cover.  So here a fingerprint has 256 bits and is filed under bands, each a
-choice of its bits; a pair at 0.8 shares at least one whole band with a chance
-of ``RECALL``.  This is banding: a similarity of 0.8 allows far too many bits for
-the proportional budgets of pigeonring chains to prune anything.  Fingerprints
-that meet under a band are compared word by word, are dropped as soon as the
-words so far differ in more than ``MAX_BITS``, and are candidates if all words do not.
+their bits, and no filing covers that many of 256 exactly at a bearable cost.  So
+pigeonring filters drawn fingerprints: ``DRAWS`` times ``DRAWN_BITS`` of the 256
+bits, cut into three segments on a ring.  If two of them differ in at most
+``DRAWN_DIFFER`` bits, some segment starts a chain all of whose prefixes stay
+within their share of the budget: one of l segments differs in at most l / 3
+bits.  So its first two segments agree, which is the key that a fingerprint is
+filed under, one for each draw and start, and exact for the draw.  Fingerprints
+that meet under a key go through the budget of the whole chain, then are compared
+word by word, and are candidates if all 256 bits differ in ``MAX_BITS`` at most.
+A pair at 0.8 is a candidate with a chance of ``RECALL``.
 
 Candidates only say which texts may belong together.  Within each group that
 they form, the sets of shingles themselves meet, one set for each fingerprint,
@@ -41,11 +44,18 @@ BITS = 64 * WORDS
 EXPECTED = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 #: Bits in which candidates differ at most: what is expected and three standard deviations.
 MAX_BITS = round(BITS * EXPECTED + 3 * math.sqrt(BITS * EXPECTED * (1 - EXPECTED)))
-BAND_BITS = 19
-RECALL = 0.97
-BANDS = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - EXPECTED) ** BAND_BITS))
+DRAWN_DIFFER = 1
+SEGMENTS = 2 * DRAWN_DIFFER + 1
+SEGMENT_BITS = 7  # of the eight of a byte
+DRAWN_BITS = SEGMENT_BITS * SEGMENTS
+#: Segments of a chain whose share of the budget is none: they agree.
+AGREE = 2
+RECALL = 0.98
 #: Keys with up to so many fingerprints are compared together, pair by pair in memory.
-SMALL = 64
+SMALL = 128
+#: Rows of such keys, and pairs of rows of a larger one, that are compared in one go, about.
+TOGETHER = 1 << 14
+PAIRS_TOGETHER = 1 << 20
 #: Shingles in a block of a group of candidates, of which a task holds two.
 BLOCK_SHINGLES = 1 << 21
 #: Bits for each candidate, and in all, of the table that keeps other texts from being shuffled.
@@ -122,31 +132,64 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return per_slice(docs, id_col, text_col, lambda texts: _columns(as_bytes(texts), shingle_words), PRINT)
 
 
-def _bands() -> np.ndarray:
-    """A mask for each band and word."""
+def budget(length: int) -> int:
+    """Bits in which a chain of so many segments may differ."""
+    return DRAWN_DIFFER * length // SEGMENTS
+
+
+def recall(draws: int) -> float:
+    """The chance that a pair at ``SIMILARITY`` differs in ``MAX_BITS`` at most and in ``DRAWN_DIFFER`` of some draw's bits."""
+    found = 0.0
+    for d in range(MAX_BITS + 1):
+        near = sum(math.comb(d, i) * math.comb(BITS - d, DRAWN_BITS - i) for i in range(DRAWN_DIFFER + 1)) / math.comb(BITS, DRAWN_BITS)
+        found += math.comb(BITS, d) * EXPECTED**d * (1 - EXPECTED) ** (BITS - d) * (1 - (1 - near) ** draws)
+    return found
+
+
+DRAWS = next(n for n in range(1, 1000) if recall(n) >= RECALL)
+
+
+def _drawn() -> np.ndarray:
+    """The bits of each draw and segment, filled up to a byte by one that no fingerprint has."""
     rng = random.Random(SEED)
-    bits = [sum(1 << b for b in rng.sample(range(BITS), BAND_BITS)) for _ in range(BANDS)]
-    return np.array([[(x >> 64 * i) & (1 << 64) - 1 for i in range(WORDS)] for x in bits], np.uint64)
+    bits = np.array([rng.sample(range(BITS), DRAWN_BITS) for _ in range(DRAWS)]).reshape(DRAWS, SEGMENTS, SEGMENT_BITS)
+    return np.pad(bits, ((0, 0), (0, 0), (0, 8 - SEGMENT_BITS)), constant_values=BITS)
+
+
+_DRAWN = _drawn()
+
+
+def _bits_at(f: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bytes of the bits ``at`` (eight to a byte; for all rows, or a row for each) of fingerprint words."""
+    rows = np.pad(np.ascontiguousarray(f).view(np.uint8), ((0, 0), (0, 1)))
+    bits = (rows[:, at >> 3] if at.ndim == 1 else np.take_along_axis(rows, at >> 3, 1)) >> (at & 7).astype(np.uint8) & 1
+    return np.packbits(bits, axis=1)
 
 
-def _band_rows(batches):
-    masks = _bands()
+def _chain_end(f: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The segment that ends the chain of each row's key."""
+    draw, start = np.divmod(keys >> 8 * AGREE, SEGMENTS)
+    return _bits_at(f, _DRAWN[draw, (start + AGREE) % SEGMENTS])[:, 0]
+
+
+def _ring_rows(batches):
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        f = _words_of(batch)
-        keys = np.stack([node_of(f & m) ^ np.int64(k) for k, m in enumerate(masks)], axis=1)
-        columns = [*(np.repeat(f[:, i], BANDS).view(np.int64) for i in range(WORDS)), keys.reshape(-1)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*F_COLS, "key"])
+        for start in range(0, batch.num_rows, 1000):
+            f = _words_of(batch.slice(start, 1000))
+            parts = _bits_at(f, _DRAWN.reshape(-1)).reshape(len(f), DRAWS, SEGMENTS).astype(np.int64)
+            kinds = np.arange(DRAWS * SEGMENTS).reshape(DRAWS, SEGMENTS)
+            keys = kinds << 16 | parts << 8 | np.roll(parts, -1, axis=2)
+            columns = [*(np.repeat(f[:, i], DRAWS * SEGMENTS).view(np.int64) for i in range(WORDS)), keys.reshape(-1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*F_COLS, "key"])
 
 
 def _words_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(i).to_numpy().view(np.uint64) for i in range(WORDS)], axis=1)
 
 
-def band_keys(nodes: DataFrame) -> DataFrame:
-    """The words and ``key`` of each fingerprint, for every band."""
-    return nodes.select(*F_COLS).mapInArrow(_band_rows, ", ".join(f"{c} long" for c in (*F_COLS, "key")))
+def ring_keys(nodes: DataFrame) -> DataFrame:
+    """The words and ``key`` of each fingerprint, for every draw and start of a chain: number of both, then the two segments that agree."""
+    return nodes.select(*F_COLS).mapInArrow(_ring_rows, ", ".join(f"{c} long" for c in (*F_COLS, "key")))
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,14 +205,20 @@ def _linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _small(f: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _near(f: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows ``a`` and ``b`` that share a key are within the whole chain's budget and then ``MAX_BITS``: their places."""
+    left = np.flatnonzero(np.bitwise_count(ends[a] ^ ends[b]) <= budget(SEGMENTS))
+    return left[_linked(f[a[left]], f[b[left]])]
+
+
+def _small(f: np.ndarray, ends: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) rows for runs of up to ``SMALL`` rows; ``run`` numbers the runs."""
     a, b = [], []
     for shift in range(1, SMALL):
         i = np.flatnonzero(run[shift:] == run[:-shift])
         if not len(i):
             break
-        i = i[_linked(f[i], f[i + shift])]
+        i = i[_near(f, ends, i, i + shift)]
         a.append(i)
         b.append(i + shift)
     if not a:
@@ -188,15 +237,23 @@ def _small(f: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return member, root[member]
 
 
-def _large(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) rows for one run: the seed is the first of what is left, each step drops what it reaches."""
+def _large(f: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) rows for one run: the seed is the first of what is left that reaches another, each step drops what it reaches."""
     left, members, roots = np.arange(len(f)), [np.empty(0, int)], [np.empty(0, int)]
+    some = 1  # rows that look for others at once; most reach none
     while len(left) > 1:
-        seed, front, left = left[0], [left[0]], left[1:]
+        at, to = np.nonzero(np.bitwise_count(ends[left[:some], None] ^ ends[left]) <= budget(SEGMENTS))
+        at, to = at[to > at], to[to > at]
+        at = at[_linked(f[left[at]], f[left[to]])]
+        if not len(at):
+            left, some = left[some:], max(1, min(SMALL, PAIRS_TOGETHER // len(left)))
+            continue
+        seed, left, some = left[at[0]], left[at[0] + 1 :], 1
+        front = [seed]
         while front and len(left):
-            near = _linked(f[left], f[front.pop()][None])
-            if near.any():
-                hit, left = left[near], left[~near]
+            near = _near(f, ends, left, np.full(len(left), front.pop()))
+            if len(near):
+                hit, left = left[near], np.delete(left, near)
                 front.extend(hit.tolist())
                 members.append(hit)
                 roots.append(np.full(len(hit), seed))
@@ -206,16 +263,17 @@ def _large(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _edges_of(f: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+def _edges_of(f: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
     sizes = np.diff(np.r_[starts, len(f)])
     run = np.repeat(np.arange(len(starts)), sizes)
     f = f[np.lexsort((node_of(f), run))]  # under every key the same few nodes of a group are its roots
+    ends = _chain_end(f, keys)
     small = (sizes <= SMALL)[run] & (sizes > 1)[run]
     at = np.flatnonzero(small)
-    m, r = _small(f[at], run[at])
+    m, r = _small(f[at], ends[at], run[at])
     members, roots = [at[m]], [at[r]]
     for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        m, r = _large(f[s : s + n])
+        m, r = _large(f[s : s + n], ends[s : s + n])
         members.append(s + m)
         roots.append(s + r)
     node = node_of(f)
@@ -227,22 +285,21 @@ def _edges_of(f: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
 
 def _edges_by_key(batches):
     """From rows (words, key, pair) sorted by key and pair: (member, root) under each of them."""
-    kept: list[tuple] = []  # the run that may go on in the next batch
+    kept: list[tuple] = []  # rows that wait for more, the last of them a run that may go on
     for batch in batches:
         if not batch.num_rows:
             continue
-        f = _words_of(batch)
-        keys, pairs = (batch.column(WORDS + i).to_numpy() for i in range(2))
-        if kept and (kept[0][1][0], kept[0][2][0]) == (keys[-1], pairs[-1]):
-            kept.append((f, keys, pairs))
+        kept.append((_words_of(batch), *(batch.column(WORDS + i).to_numpy() for i in range(2))))
+        if sum(len(k) for _, k, _ in kept) < TOGETHER or (kept[0][1][0], kept[0][2][0]) == (kept[-1][1][-1], kept[-1][2][-1]):
             continue
-        f, keys, pairs = (np.concatenate(x) for x in zip(*kept, (f, keys, pairs)))
+        f, keys, pairs = (np.concatenate(x) for x in zip(*kept))
         starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (pairs[1:] != pairs[:-1])])
         last = starts[-1]
-        yield _edges_of(f[:last], starts[:-1])
+        yield _edges_of(f[:last], keys[:last], starts[:-1])
         kept = [(f[last:], keys[last:], pairs[last:])]
     if kept:
-        yield _edges_of(np.concatenate([f for f, _, _ in kept]), np.array([0]))
+        f, keys, pairs = (np.concatenate(x) for x in zip(*kept))
+        yield _edges_of(f, keys, np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (pairs[1:] != pairs[:-1])]))
 
 
 def _alike(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -346,7 +403,7 @@ def groups(prints: DataFrame, id_col: str, docs: DataFrame, text_col: str) -> Da
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("low"), "digest")).alias("first")
     nodes = prints.groupBy("fp", *F_COLS).agg(F.max("shingles").alias("shingles"), first)
     nodes = written(nodes.select("fp", *F_COLS, "shingles", "first.low", "first.digest"), "nodes")
-    keys = in_blocks(band_keys(nodes), band_keys, nodes, F_COLS)
+    keys = in_blocks(ring_keys(nodes), ring_keys, nodes, F_COLS)
     dealt = keys.repartition("key", "pair").sortWithinPartitions("key", "pair").select(*F_COLS, "key", "pair")
     roots = components(dealt.mapInArrow(_edges_by_key, "u long, v long").distinct())
     near = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("root", "fp")).drop("root")
