@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import strip
-from plumbline.operators.checks import content_hash, duplicates, enforce, field_differences, key_differences, union, violations
+from plumbline.operators.checks import compared, content_hash, enforce, field_differences, union, violations
 from plumbline.operators.verdicts import LABELS
 from plumbline.sources.runs import read_manifest, refuse_existing, write_manifest
 
@@ -132,7 +132,7 @@ def decision_violations(pairs: DataFrame, decisions: DataFrame, signed: bool = F
     }
     if signed:
         rules["no_signature"] = ~F.coalesce(F.col("signed"), F.lit(False)) | blank("signed_by") | ~F.coalesce(F.col("signed_at").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.lit(False))
-    return union([duplicates(decisions, "pair_id"), duplicates(pairs, "pair_id"), key_differences(decisions, pairs, "pair_id"), field_differences(own, pairs, "pair_id", [*fields, "gold_label"]), violations(decisions, "pair_id", rules)])
+    return union([compared(own, pairs, "pair_id", [*fields, "gold_label"]), violations(decisions, "pair_id", rules)])
 
 
 def overlap_violations(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:

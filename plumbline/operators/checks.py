@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.verdicts import LABELS
+from plumbline.sources.scratch import written
+
+#: Rows of two tables that a task compares, about: a larger table has more tasks, not larger ones.
+TASK_ROWS = 1 << 20
 
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -33,6 +37,34 @@ def field_differences(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -
     return violations(a.join(right, key), key, {f"differs_{f}": ~F.col(f).eqNullSafe(F.col(f"__{f}")) for f in fields})
 
 
+def compared(a: DataFrame, b: DataFrame, key: str, fields: list[str], repeated: bool = True) -> DataFrame:
+    """``key_differences``, ``field_differences`` and, if ``repeated``, the ``duplicates`` of both sides, by one shuffle.
+
+    Rows are counted first and dealt by key to so many tasks that each has about
+    ``TASK_ROWS``.  Keys that come once on a side at most, nearly all, are
+    compared in one grouping; rows of others, and those without a key, are joined.
+    """
+    flat = lambda df, left: df.select(F.col(key).alias("key"), F.lit(left).alias("left"), *(F.col(f).alias(f"f{i}") for i, f in enumerate(fields)))
+    tasks = -(-(a.count() + b.count()) // TASK_ROWS)
+    dealt = lambda df, by: df.repartition(tasks, by) if tasks > a.sparkSession.sparkContext.defaultParallelism else df.repartition(by)
+    of = lambda i, side: F.first(F.when(side, F.col(f"f{i}")), ignorenulls=True)
+    left = F.col("left")
+    sides = [F.count_if(left).alias("l"), F.count_if(~left).alias("r"), *(of(i, s).alias(f"{x}{i}") for i in range(len(fields)) for x, s in (("l", left), ("r", ~left)))]
+    keys = dealt(flat(a, True).unionByName(flat(b, False)), "key").groupBy("key").agg(*sides)
+    l, r, known = F.col("l"), F.col("r"), F.col("key").isNotNull()  # noqa: E741
+    once = known & (l <= 1) & (r <= 1)
+    rules = [("only_left", once & (r == 0)), ("only_right", once & (l == 0)), *((f"differs_{f}", once & (l == 1) & (r == 1) & ~F.col(f"l{i}").eqNullSafe(F.col(f"r{i}"))) for i, f in enumerate(fields)), ("again", ~once)]
+    rules += [("duplicate_key", l > 1), ("duplicate_key", r > 1)] if repeated else []
+    broken = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in rules)))
+    found = written(keys.select(F.explode(broken).alias("rule"), "key"), "compared")
+    again = found.where("rule = 'again'").select(F.col("key").alias("__again"))
+    told = found.where("rule <> 'again'").select("rule", F.col("key").cast("string").alias("key"))
+    if again.isEmpty():
+        return told
+    rest = [dealt(df.join(again, F.col(key).eqNullSafe(F.col("__again")), "left_semi"), key) for df in (a, b)]
+    return union([told, key_differences(*rest, key), field_differences(*rest, key, fields)])
+
+
 def span_rules(answer: str = "answer") -> dict[str, Column]:
     s = lambda f: F.exists("gold_spans", f)
     return {

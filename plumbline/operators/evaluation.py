@@ -111,8 +111,7 @@ def result_violations(results: DataFrame, inputs: DataFrame, field: str, method:
         "review_flag": F.col("review_flag").isNull(), "review_without_flag": (F.col(field) == REVIEW) & ~F.coalesce("review_flag", F.lit(False)),
     }
     return checks.union([
-        checks.duplicates(results, "pair_id"), checks.duplicates(inputs, "pair_id"), checks.key_differences(results, inputs, "pair_id"),
-        checks.field_differences(results, inputs, "pair_id", fields), checks.violations(results, "pair_id", rules), single_values(results, [c for c in provenance if c in results.columns]),
+        checks.compared(results, inputs, "pair_id", fields), checks.violations(results, "pair_id", rules), single_values(results, [c for c in provenance if c in results.columns]),
     ])
 
 
@@ -248,4 +247,4 @@ def frozen_violations(pairs: DataFrame, frozen: DataFrame, choices: DataFrame, b
         "selected_ids": ~F.col("document_ids").eqNullSafe(F.col("selected_ids")) | (F.size("selected_ids") < 1), "selected_count": F.col("selected_count") != F.size("selected_ids"),
         "budget": (F.col("input_tokens") > budget) | F.col("was_truncated"),
     }
-    return checks.union([checks.key_differences(pairs, frozen, "pair_id"), checks.key_differences(pairs, choices, "pair_id"), checks.field_differences(pairs, frozen, "pair_id", fields), checks.violations(told, "pair_id", rules)])
+    return checks.union([checks.compared(pairs, frozen, "pair_id", fields, repeated=False), checks.compared(pairs, choices, "pair_id", [], repeated=False), checks.violations(told, "pair_id", rules)])
