@@ -185,11 +185,24 @@ def in_blocks(keys: DataFrame, keys_of, nodes: DataFrame, words: list[str]) -> D
     return joined.select(*words, "key", F.explode(pairs).alias("pair"))
 
 
+def stars(links: DataFrame) -> DataFrame:
+    """Different links ``u``, ``v`` that keep whole what ``links`` of members ``u`` to roots ``v`` join.
+
+    A member has a root under each of its keys.  It keeps the smallest, which its
+    other roots are linked to instead; members of a group share most roots, so
+    about one link is left for each member.  A member's list has one root for each
+    key and block at most, whatever its group's size; roots get no lists.
+    """
+    met = links.groupBy("u").agg(F.collect_set("v").alias("roots")).withColumn("least", F.array_min("roots"))
+    ends = F.transform("roots", lambda r: F.struct(F.when(r == F.col("least"), F.col("u")).otherwise(r).alias("u"), F.col("least").alias("v")))
+    return met.select(F.explode(ends).alias("link")).select("link.*").distinct()
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """Links ``u`` > ``v`` (as unsigned) between different fingerprints that keep the components whole."""
+    """Links ``u``, ``v`` between different fingerprints that keep the components whole."""
     keys = in_blocks(ring_keys(fps), ring_keys, fps, ["fp"])
     dealt = keys.repartition("key", "pair").sortWithinPartitions("key", "pair").select("fp", "key", "pair")
-    return dealt.mapInArrow(_stars_by_key, "u long, v long").distinct()
+    return stars(dealt.mapInArrow(_stars_by_key, "u long, v long"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.neardup import components, in_blocks
+from plumbline.llm.neardup import components, in_blocks, stars
 from plumbline.llm.runtime import as_bytes, per_slice, written
 
 SHINGLE_WORDS = 5
@@ -395,7 +395,7 @@ def verified_links(near: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     pairs = F.transform(others, lambda x: F.least(x, F.col("mine")) * F.col("n") + F.greatest(x, F.col("mine")))
     dealt = sets.withColumn("mine", mine).select(*F_COLS, "found", "group", F.explode(pairs).alias("pair"))
     dealt = dealt.repartition("group", "pair").sortWithinPartitions("group", "pair")
-    return dealt.mapInArrow(_links_by_block, "u long, v long").distinct()
+    return stars(dealt.mapInArrow(_links_by_block, "u long, v long"))
 
 
 def groups(prints: DataFrame, id_col: str, docs: DataFrame, text_col: str) -> DataFrame:
@@ -405,7 +405,7 @@ def groups(prints: DataFrame, id_col: str, docs: DataFrame, text_col: str) -> Da
     nodes = written(nodes.select("fp", *F_COLS, "shingles", "first.low", "first.digest"), "nodes")
     keys = in_blocks(ring_keys(nodes), ring_keys, nodes, F_COLS)
     dealt = keys.repartition("key", "pair").sortWithinPartitions("key", "pair").select(*F_COLS, "key", "pair")
-    roots = components(dealt.mapInArrow(_edges_by_key, "u long, v long").distinct())
+    roots = components(stars(dealt.mapInArrow(_edges_by_key, "u long, v long")))
     near = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("root", "fp")).drop("root")
     near = written(near, "near")
     linked = components(verified_links(near, docs, id_col, text_col))
